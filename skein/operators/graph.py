@@ -17,43 +17,58 @@ from pyspark.sql import functions as F
 from skein.session import cut, drop
 
 
+def _contract(edges: DataFrame, order) -> tuple[DataFrame, DataFrame]:
+    """One round: (node, to) pointers to the neighbour first in ``order``, and the edges between what they point to."""
+    ahead = order("a") > order("b")
+    both = edges.select(F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("node"), F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("near"))
+    point = both.groupBy("node").agg(F.min_by("near", order("near")).alias("to"))
+    for _ in range(2):
+        step = point.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        point = point.join(step, "to", "left").select("node", F.coalesce("next", "to").alias("to"))
+    point, ends = cut(point), edges
+    for end in ("a", "b"):
+        ends = ends.join(point.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+    return point, cut(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+
+
+def _compose(point: DataFrame, onward: DataFrame) -> DataFrame:
+    """Pointers of a round carried on by those of what is left after it."""
+    ahead = onward.select(F.col("node").alias("to"), F.col("to").alias("next"))
+    carried = point.join(ahead, "to", "left").select("node", F.coalesce("next", "to").alias("to"))
+    return carried.unionByName(onward.join(point.select("node"), "node", "left_anti"))
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(node, component) of every node of an undirected edge table; the component is its smallest node.
+    """(node, component) of each node of an undirected edge table but the smallest of its component, which names it.
 
-    Each round points every node to its smallest neighbour, shortens these pointers twice, and contracts the edges
-    along them; edges only ever shrink. The pointers of all rounds are composed at the end, from the last and
-    smallest to the first. Null ends and loops are ignored; repeated edges count once; no edges give no rows.
+    Each round points every node to a neighbour, shortens these pointers twice, and contracts the edges along them. The
+    first round goes by id, as replies mostly point to older and smaller ids; later ones go by a hash that changes
+    with the round, so that a long chain loses a constant share of its nodes whatever its ids. The pointers of all
+    rounds are composed at the end, from the last and smallest to the first. Null ends and loops are ignored; repeated
+    edges count once; no edges give no rows.
     """
-    left = cut(
-        edges.select(F.greatest(src, dst).alias("hi"), F.least(src, dst).alias("lo"))
-        .where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col("hi") != F.col("lo")))
-        .distinct()
-    )
-    spark, kind, rounds = edges.sparkSession, left.schema["hi"].dataType, []
+    pairs = edges.select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b"))
+    left = cut(pairs.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col("a") != F.col("b"))).distinct())
+    first, after = _contract(left, F.col)
+    drop(left)
+    left, rounds = after, []
     while not left.isEmpty():
-        point = left.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("to"))
-        for _ in range(2):
-            step = point.select(F.col("node").alias("to"), F.col("to").alias("next"))
-            point = point.join(step, "to", "left").select("node", F.coalesce("next", "to").alias("to"))
-        point = cut(point)
-        rounds.append(point)
-        ends = left
-        for end in ("hi", "lo"):
-            ends = ends.join(point.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
-        shrunk = cut(
-            ends.select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).where("hi <> lo").distinct()
-        )
+        point, after = _contract(left, lambda c, r=len(rounds): F.struct(F.xxhash64(F.lit(r), F.col(c)), F.col(c)))
         drop(left)
-        left = shrunk
+        left = after
+        rounds.append(point)
     drop(left)
     if not rounds:
-        return spark.createDataFrame([], f"node {kind.simpleString()}, component {kind.simpleString()}")
-    found = rounds[-1].withColumnRenamed("to", "component")
+        return first.withColumnRenamed("to", "component")
+    rest = rounds[-1]
     for point in reversed(rounds[:-1]):
-        onward = found.select(F.col("node").alias("to"), "component")
-        found = point.join(onward, "to", "left").select("node", F.coalesce("component", "to").alias("component")).unionByName(found)
-    # Nodes that no pointer leaves are the components' smallest nodes.
-    return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
+        rest = _compose(point, rest)
+    # What the first round left holds the smallest node of every component that is not yet whole.
+    ends = rest.select(F.col("to").alias("node"), "to").distinct().join(rest.select("node"), "node", "left_anti")
+    rest = cut(rest.unionByName(ends))
+    least = rest.groupBy("to").agg(F.min("node").alias("least"))
+    rest = rest.join(least, "to").select("node", F.col("least").alias("to")).where("node <> to")
+    return _compose(first, rest).withColumnRenamed("to", "component")
 
 
 WHITE, GREY, BLACK = 0, 1, 2
@@ -234,7 +249,7 @@ def hierarchy(rows: DataFrame, paths: bool = False, co_locate: int = 50_000) ->
     comp = cut(connected_components(linked, "id", "parent").withColumnsRenamed({"node": "id"}))
     # A node without edges, or with none but a loop, is a component of its own.
     full = rows.select("id").join(linked, "id", "left").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    large = comp.groupBy("component").count().where(F.col("count") > co_locate).select("component")
+    large = comp.groupBy("component").count().where(F.col("count") >= co_locate).select("component")
     if large.isEmpty():
         return co_located_walk(full, paths)
     full = cut(full)

@@ -90,10 +90,10 @@ parents as (select id, case when parent in (select tweet_id from twcs) then pare
 _TREE = f"""with recursive {_PARENTS},
 down as (select id, id root, 0 depth, id path from parents where parent is null
   union all select p.id, d.root, d.depth + 1, d.path || '/' || p.id from down d join parents p on p.parent = d.id),
-climb as (select id start, id at, 0 n from parents where id not in (select id from down)
-  union all select c.start, p.parent, c.n + 1 from climb c join parents p on p.id = c.at where c.n < 200),
-rings as (select start, min(at) root, bool_or(at = start and n > 0) own from climb where n = 0 or n > 0 group by 1),
-far as (select start, min(at) root from climb where n >= 100 group by 1),
+climb as (select id start, id spot, 0 n from parents where id not in (select id from down)
+  union all select c.start, p.parent, c.n + 1 from climb c join parents p on p.id = c.spot where c.n < 200),
+rings as (select start, bool_or(spot = start and n > 0) own from climb group by 1),
+far as (select start, min(spot) root from climb where n >= 100 group by 1),
 ringed as (select far.start id, far.root, rings.own on_cycle from far join rings using (start))"""
 _AUTHOR = "lower(regexp_replace(trim(author_id), '^@+', ''))"
 
