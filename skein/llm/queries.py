@@ -5,13 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import mixing, spans
+from skein.functions.ids import as_key
+from skein.llm import mixing, neardup, spans
 from skein.llm.sql import SQL
 from skein.session import cut, table
 
 __all__ = ["QUERIES", "SQL"]
 
 
+def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    tweets = table(spark, sf_dir, "twcs").select(as_key(F.col("tweet_id")).alias("id"), "text")
+    return neardup.near_duplicates(tweets, "id", "text")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = neardup.expand(*_near(spark, sf_dir))
+    return pairs.select(F.col("a").cast("string").alias("tweet_id_a"), F.col("b").cast("string").alias("tweet_id_b"))
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = neardup.groups(*_near(spark, sf_dir))
+    return got.select(*(F.col(c).cast("string").alias(n) for c, n in (("id", "tweet_id"), ("rep", "class_id"), ("group", "group_id"))), "links")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("source", mixing.count_pieces(F.col("text")).alias("tokens"))
     return mixing.supply(docs, table(spark, sf_dir, "mix_targets")).where("not reachable").select("source")

@@ -15,7 +15,19 @@ marks as (select *, coalesce(s > lag(s) over (partition by doc_id order by s) +
 runs as (select *, sum(fresh::int) over (partition by doc_id order by s) r from marks),
 spans as (select doc_id, cast(min(s) as integer) span_start, cast(max(s) + 120 as integer) span_end from runs group by doc_id, r)"""
 
+_NEAR = r"""with texts as (select tweet_id, min(text) t from twcs where text is not null group by 1),
+plain as (select tweet_id, regexp_replace(regexp_replace(t, '\b(https?://|www\.)\S+', ' ', 'gi'), '@[\p{L}\p{N}_]+', ' ', 'g') t from texts),
+sets as (select tweet_id, list_distinct(regexp_extract_all(lower(t), '[\p{L}\p{N}]+')) s from plain),
+big as (select tweet_id, s, len(s) n from sets where len(s) >= 12),
+each as (select tweet_id, n, unnest(s) w from big),
+df as (select w, count(*) c from each group by 1),
+ranked as (select tweet_id, n, w, row_number() over (partition by tweet_id order by c, w) r from each join df using (w)),
+lead as (select * from ranked where r <= n - cast(ceil(0.8 * n - 1e-9) as integer) + 1),
+cand as (select distinct a.tweet_id a, b.tweet_id b from lead a join lead b on a.w = b.w and a.tweet_id < b.tweet_id and a.n >= 0.8 * b.n and b.n >= 0.8 * a.n)"""
+
 SQL = {
+    "p4_found": f"""{_NEAR} select a tweet_id_a, b tweet_id_b from cand join big x on x.tweet_id = a join big y on y.tweet_id = b
+  where len(list_intersect(x.s, y.s)) >= 0.8 * (x.n + y.n - len(list_intersect(x.s, y.s)))""",
     "p9_found": f"select source from ({_SUPPLY}) where not reachable",
     "p9_supply": _SUPPLY,
     "p10_found": f"{_SPANS} select * from spans",
