@@ -6,13 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.ids import as_key
-from skein.llm import mixing, neardup, spans
+from skein.llm import conversations, mixing, neardup, spans
 from skein.llm.sql import SQL
 from skein.session import cut, table
 
 __all__ = ["QUERIES", "SQL"]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = conversations.rebuild(table(spark, sf_dir, "twcs"))
+    return got.select(F.col("conv").cast("string").alias("conv_id"), "turn_no", F.col("id").cast("string").alias("tweet_id"), "role")
+
+
+def p1_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = conversations.rebuild(table(spark, sf_dir, "twcs"), infer=True)
+    return got.select(*(F.col(c).cast("string").alias(n) for c, n in (("conv", "conv_id"), ("id", "tweet_id"), ("parent", "parent_id"))), "turn_no", "role", "score")
+
+
 def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     tweets = table(spark, sf_dir, "twcs").select(as_key(F.col("tweet_id")).alias("id"), "text")
     return neardup.near_duplicates(tweets, "id", "text")

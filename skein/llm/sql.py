@@ -15,6 +15,25 @@ marks as (select *, coalesce(s > lag(s) over (partition by doc_id order by s) +
 runs as (select *, sum(fresh::int) over (partition by doc_id order by s) r from marks),
 spans as (select doc_id, cast(min(s) as integer) span_start, cast(max(s) + 120 as integer) span_end from runs group by doc_id, r)"""
 
+_ID = r"nullif(regexp_extract({0}, '^[\s\x{{a0}}]*(\d+)(?:\.0*)?[\s\x{{a0}}]*$', 1), '')"
+_TURNS = rf"""with recursive msgs as (select tweet_id id, min(inbound) inbound, min(created_at) at_,
+  min(text) filter (where not regexp_full_match(text, '[\s\p{{Z}}\x{{200b}}-\x{{200d}}\x{{2060}}\x{{feff}}]*')) text, min(author_id) author,
+  min({_ID.format('in_response_to_tweet_id')}) own from twcs group by 1),
+refs as (select tweet_id by_, {_ID.format('in_response_to_tweet_id')} to_, true own from twcs
+  union select tweet_id, {_ID.format('part')}, false from (select tweet_id, unnest(string_split(coalesce(response_tweet_id, ''), ',')) part from twcs)),
+good as (select * from refs where to_ in (select id from msgs)),
+pairs as (select by_ a, to_ b from good union select to_, by_ from good),
+reach as (select id, id low from msgs union select p.b, r.low from reach r join pairs p on p.a = r.id where r.low < p.b),
+comp as (select id, min(low) conv from reach group by 1),
+ups as (select m.id, coalesce(m.own, min(g.by_)) up from msgs m left join good g on g.to_ = m.id and not g.own group by m.id, m.own),
+climb as (select id start, up spot, 1 n from ups where up in (select id from msgs)
+  union all select c.start, u.up, c.n + 1 from climb c join ups u on u.id = c.spot where c.n < 100 and u.up in (select id from msgs)),
+bad as (select conv from comp where id in (select by_ from refs where to_ is not null and to_ not in (select id from msgs)) or id in (select start from climb where spot = start)),
+turns as (select conv, id, at_, case when coalesce(inbound, regexp_full_match(trim(author), '\d+')) then 'customer' else 'brand' end role
+  from msgs join comp using (id) where text is not null and conv not in (select conv from bad)),
+numbered as (select *, row_number() over (partition by conv order by at_ nulls first, id) turn_no from turns),
+kept as (select conv from numbered group by 1 having max(turn_no) filter (where role = 'brand') > min(turn_no) filter (where role = 'customer'))"""
+
 _NEAR = r"""with texts as (select tweet_id, min(text) t from twcs where text is not null group by 1),
 plain as (select tweet_id, regexp_replace(regexp_replace(t, '\b(https?://|www\.)\S+', ' ', 'gi'), '@[\p{L}\p{N}_]+', ' ', 'g') t from texts),
 sets as (select tweet_id, list_distinct(regexp_extract_all(lower(t), '[\p{L}\p{N}]+')) s from plain),
@@ -26,6 +45,7 @@ lead as (select * from ranked where r <= n - cast(ceil(0.8 * n - 1e-9) as intege
 cand as (select distinct a.tweet_id a, b.tweet_id b from lead a join lead b on a.w = b.w and a.tweet_id < b.tweet_id and a.n >= 0.8 * b.n and b.n >= 0.8 * a.n)"""
 
 SQL = {
+    "p1_found": f"{_TURNS} select conv conv_id, cast(turn_no as integer) turn_no, id tweet_id, role from numbered where conv in (select conv from kept)",
     "p4_found": f"""{_NEAR} select a tweet_id_a, b tweet_id_b from cand join big x on x.tweet_id = a join big y on y.tweet_id = b
   where len(list_intersect(x.s, y.s)) >= 0.8 * (x.n + y.n - len(list_intersect(x.s, y.s)))""",
     "p9_found": f"select source from ({_SUPPLY}) where not reachable",
