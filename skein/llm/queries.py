@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.ids import as_key
-from skein.llm import conversations, mixing, neardup, spans
+from skein.llm import conversations, mixing, neardup, pii, spans
 from skein.llm.sql import SQL
 from skein.session import cut, table
 
@@ -23,6 +23,15 @@ def p1_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(*(F.col(c).cast("string").alias(n) for c, n in (("conv", "conv_id"), ("id", "tweet_id"), ("parent", "parent_id"))), "turn_no", "role", "score")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pii.items(table(spark, sf_dir, "twcs")).where(F.col("kind").isin(*pii.KINDS))
+    return got.select(F.col("key").alias("tweet_id"), "kind", "value").distinct()
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "twcs").select("tweet_id", pii.redacted(F.col("text"), "a secret of the deployment").alias("text"))
+
+
 def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     tweets = table(spark, sf_dir, "twcs").select(as_key(F.col("tweet_id")).alias("id"), "text")
     return neardup.near_duplicates(tweets, "id", "text")

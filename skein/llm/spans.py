@@ -1,11 +1,11 @@
 """Long exact spans shared between records, by compaction of a de Bruijn graph over minimizers.
 
-Characters are too many for graph edges, so the graph's tokens are the winnowed k-mers (minimizers) of a text: of every
-``w`` neighbouring k-mers the one with the least hash. Two consecutive tokens and their distance make an edge; they
-overlap, so equal edges are equal texts. The sizes are chosen so that every passage of ``min_len`` characters holds at
-least one whole edge: an edge that occurs in one record only can be left out, and nothing is lost. Repeated edges are
-compacted into nonbranching paths, and around the occurrences of paths the source coordinates are verified: each run of
-``min_len`` characters there is compared, by hash, with those of all other records.
+Characters are too many for graph nodes, so the graph's tokens are the winnowed k-mers (minimizers) of a text: of every
+``w`` neighbouring k-mers the one with the least hash. The sizes are chosen so that every passage of ``min_len``
+characters holds a whole token: a token that occurs in one record only can be left out, and nothing is lost. Two
+consecutive tokens of a record overlap; with their distance they make an edge, so equal edges are equal texts. The edges
+between repeated tokens are compacted into nonbranching paths, and around the places where a record runs along a path the
+source coordinates are verified: each run of ``min_len`` characters there is compared, by hash, with all other records'.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.functions.codepoints import encode, mix, power, sliding_max, sliding_min, window_hashes
+from skein.functions.codepoints import encode, sliding_max, sliding_min, window_hashes
 from skein.operators.graph import connected_components
 from skein.session import cut, drop
 
@@ -26,9 +26,9 @@ CHUNK = 150_000
 
 
 def sizes(min_len: int) -> tuple[int, int]:
-    """(k, w): w <= k, so that neighbouring tokens overlap, and k + 2w <= min_len + 1, so that a passage holds two."""
-    w = max(1, (min_len + 1) // 3)
-    return min_len + 1 - 2 * w, w
+    """(k, w): w <= k, so that neighbouring tokens overlap, and k + w <= min_len + 1, so that a passage holds one."""
+    w = max(1, (min_len + 1) // 2)
+    return min_len + 1 - w, w
 
 
 def tokens(text: str, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +57,7 @@ def _chunks(ids: list, texts: list[str]) -> Iterator[tuple[list, np.ndarray, np.
             a, n = b + 1, 0
 
 
-def _edges(k: int, w: int):
+def _mark(k: int, w: int):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, codes, starts in _chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -66,18 +66,8 @@ def _edges(k: int, w: int):
                 # A k-mer with the 0 behind a text is none of that text.
                 inside = at + k < starts[doc + 1]
                 at, h, doc = at[inside], h[inside], doc[inside]
-                gap = np.diff(at)
-                keep = np.flatnonzero((np.diff(doc) == 0) & (gap <= k))
-                edge = mix(h[keep] * power(3) + h[keep + 1] * power(5) + gap[keep].astype(np.uint64))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.asarray(ids, dtype=np.int64)[doc[keep]]),
-                        pa.array(edge.view(np.int64)),
-                        pa.array((at[keep] - starts[doc[keep]]).astype(np.int32)),
-                        pa.array((gap[keep] + k).astype(np.int32)),
-                    ],
-                    ["doc", "edge", "at", "len"],
-                )
+                columns = [np.asarray(ids, dtype=np.int64)[doc], h.view(np.int64), (at - starts[doc]).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "token", "at"])
 
     return over
 
@@ -103,24 +93,24 @@ def _grams(size: int):
     return over
 
 
-def _paths(occurrences: DataFrame) -> DataFrame:
-    """(doc, path, low, high): where records run along a nonbranching path of repeated edges.
+def _paths(occurrences: DataFrame, k: int) -> DataFrame:
+    """(doc, path, low, high): where records run along a nonbranching path of edges between repeated tokens.
 
-    An edge's successor is the one that follows it in a record. Where an edge has one successor and that has one
-    predecessor, the two belong to one path; paths are the components of these links.
+    ``low`` is the first token's place and ``high`` the last one's. Where a token has one edge out and the token it leads
+    to has one edge in, the two belong to one path; paths are the components of these links.
     """
-    follow = F.lead(F.struct("edge", "at")).over(Window.partitionBy("doc").orderBy("at"))
-    steps = occurrences.withColumn("next", follow)
-    links = cut(steps.where("next.at < at + len").select("edge", F.col("next.edge").alias("after")).distinct())
-    one = links.groupBy("edge").count().where("count = 1").select("edge")
-    only = links.groupBy("after").count().where("count = 1").select("after")
-    chain = links.join(one, "edge", "left_semi").join(only, "after", "left_semi")
-    path = connected_components(chain, "edge", "after").withColumnsRenamed({"node": "edge", "component": "path"})
-    named = occurrences.join(path, "edge", "left").withColumn("path", F.coalesce("path", "edge"))
     order = Window.partitionBy("doc").orderBy("at")
-    starts = (F.lag("path").over(order) != F.col("path")) | (F.lag(F.col("at") + F.col("len")).over(order) <= F.col("at"))
-    runs = named.withColumn("run", F.sum(F.coalesce(starts, F.lit(True)).cast("int")).over(order))
-    return runs.groupBy("doc", "run").agg(F.first("path").alias("path"), F.min("at").alias("low"), F.max(F.col("at") + F.col("len")).alias("high")).drop("run")
+    after = F.lead(F.struct("token", "at")).over(order)
+    steps = occurrences.withColumn("after", after).where(F.col("after.at") - F.col("at") <= k)
+    edges = cut(steps.select("token", F.col("after.token").alias("to"), (F.col("after.at") - F.col("at")).alias("gap")).distinct())
+    one_out = edges.groupBy("token").count().where("count = 1").select("token")
+    one_in = edges.groupBy("to").count().where("count = 1").select("to")
+    chain = edges.join(one_out, "token", "left_semi").join(one_in, "to", "left_semi")
+    path = connected_components(chain, "token", "to").withColumnsRenamed({"node": "token", "component": "path"})
+    named = occurrences.join(path, "token", "left").withColumn("path", F.coalesce("path", "token"))
+    breaks = (F.lag("path").over(order) != F.col("path")) | (F.col("at") - F.lag("at").over(order) > k)
+    runs = named.withColumn("run", F.sum(F.coalesce(breaks, F.lit(True)).cast("int")).over(order))
+    return runs.groupBy("doc", "run").agg(F.first("path").alias("path"), F.min("at").alias("low"), F.max("at").alias("high")).drop("run")
 
 
 def shared_spans(docs: DataFrame, min_len: int = 120, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -134,13 +124,13 @@ def shared_spans(docs: DataFrame, min_len: int = 120, key: str = "doc_id", text:
     """
     k, w = sizes(min_len)
     rows = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).where(f"doc is not null and length(text) >= {min_len}")
-    edges = cut(rows.mapInArrow(_edges(k, w), "doc bigint, edge bigint, at int, len int"))
-    repeated = edges.groupBy("edge").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("edge")
-    occurrences = cut(edges.join(repeated, "edge", "left_semi"))
-    drop(edges)
-    # A passage that holds an edge starts at most min_len before the edge's end, and an edge has more than k characters.
-    reach = F.struct((F.col("low") + k + 1 - min_len).alias("low"), (F.col("high") - k).alias("high"))
-    regions = _paths(occurrences).groupBy("doc").agg(F.collect_set(reach).alias("regions"))
+    marks = cut(rows.mapInArrow(_mark(k, w), "doc bigint, token bigint, at int"))
+    repeated = marks.groupBy("token").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("token")
+    occurrences = cut(marks.join(repeated, "token", "left_semi"))
+    drop(marks)
+    # A passage that holds a token starts at most min_len before the token's end, and not behind its start.
+    reach = F.struct((F.col("low") + k - min_len).alias("low"), (F.col("high") + 1).alias("high"))
+    regions = _paths(occurrences, k).groupBy("doc").agg(F.collect_set(reach).alias("regions"))
     once = cut(rows.join(regions, "doc").groupBy("doc").agg(F.min("text").alias("text"), F.first("regions").alias("regions")))
     drop(occurrences)
     digest = once.select("doc", F.sha2("text", 256).alias("digest"), F.length("text").alias("n"))
