@@ -33,7 +33,7 @@ COMMON = 2_000
 GROUP = 64
 
 _LETTER = CharClass(str.isalnum)
-WIDTH = 128
+WIDTH = 64
 
 
 def plain(c: Column) -> Column:
@@ -89,18 +89,16 @@ def sketch(counts: DataFrame) -> np.ndarray:
     return out
 
 
-def _fingerprints(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two 64-bit halves of each record's fingerprint; a word flips one of the bits."""
-    bit, halves, starts = (h & np.uint64(WIDTH - 1)).astype(np.int64), [], np.concatenate([[0], ends[:-1]])
-    for half in range(2):
-        flips = np.where(bit // 64 == half, np.uint64(1) << (bit % 64).astype(np.uint64), np.uint64(0))
-        at = np.minimum(starts, max(0, len(h) - 1))
-        out = np.bitwise_xor.reduceat(flips, at) if len(h) else np.zeros(len(ends), np.uint64)
-        halves.append(np.where(ends > starts, out, np.uint64(0)))
-    return halves[0], halves[1]
+def _fingerprints(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Each record's fingerprint; a word flips one of the bits."""
+    starts = np.concatenate([[0], ends[:-1]])
+    if not len(h):
+        return np.zeros(len(ends), np.uint64)
+    flips = np.uint64(1) << (h % np.uint64(WIDTH))
+    return np.where(ends > starts, np.bitwise_xor.reduceat(flips, np.minimum(starts, len(h) - 1)), np.uint64(0))
 
 
-_CARDS = "id bigint, size int, fp0 bigint, fp1 bigint, digest bigint, keys array<bigint>"
+_CARDS = "id bigint, size int, fp bigint, digest bigint, keys array<bigint>"
 
 
 def _cards(rarity, least: int, threshold: float):
@@ -140,8 +138,8 @@ def _cards(rarity, least: int, threshold: float):
             sums = np.add.reduceat(spread, np.minimum(starts, max(0, len(h) - 1))) if len(h) else np.zeros(len(ends), np.uint64)
             filed = [[int(x) for x in np.array(keys(h[starts[i] : ends[i]], level[starts[i] : ends[i]]), np.uint64).view(np.int64)] for i in keep.tolist()]
             ids = batch.column(0).to_numpy(zero_copy_only=False)[keep]
-            columns = [pa.array(ids, pa.int64()), pa.array((ends - starts)[keep].astype(np.int32)), *(pa.array(f[keep].view(np.int64)) for f in fps), pa.array(sums[keep].view(np.int64)), pa.array(filed, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "size", "fp0", "fp1", "digest", "keys"])
+            columns = [pa.array(ids, pa.int64()), pa.array((ends - starts)[keep].astype(np.int32)), pa.array(fps[keep].view(np.int64)), pa.array(sums[keep].view(np.int64)), pa.array(filed, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "size", "fp", "digest", "keys"])
 
     return over
 
@@ -159,24 +157,21 @@ def _bound(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     return total - 2 * np.ceil(threshold / (1 + threshold) * total - 1e-9).astype(np.int64)
 
 
-def _differ(fp: tuple[np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(fp[0][i] ^ fp[0][j]).astype(np.int64) + np.bitwise_count(fp[1][i] ^ fp[1][j])
+def _differ(fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64)
 
 
-def _search(ids: np.ndarray, size: np.ndarray, fp: tuple[np.ndarray, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def _search(ids: np.ndarray, size: np.ndarray, fp: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of one large node, sorted by Gray rank: groups are pruned by their shared bits, then members compared."""
     n = len(ids)
     edges = np.arange(0, n, GROUP)
-    masks, patterns = [], []
-    for half in fp:
-        ones, zeros = np.bitwise_and.reduceat(half, edges), np.bitwise_and.reduceat(~half, edges)
-        masks.append(ones | zeros)
-        patterns.append(ones)
+    pattern = np.bitwise_and.reduceat(fp, edges)
+    mask = pattern | np.bitwise_and.reduceat(~fp, edges)
     low, high = np.minimum.reduceat(size, edges), np.maximum.reduceat(size, edges)
     out_i, out_j = [], []
     for g in range(len(edges)):
         rest = np.arange(g, len(edges))
-        shared = sum(np.bitwise_count((patterns[k][rest] ^ patterns[k][g]) & masks[k][rest] & masks[k][g]).astype(np.int64) for k in range(2))
+        shared = np.bitwise_count((pattern[rest] ^ pattern[g]) & mask[rest] & mask[g]).astype(np.int64)
         near = (shared <= _bound(high[rest], high[g], threshold)) & (low[rest] * threshold <= high[g]) & (low[g] * threshold <= high[rest])
         mine = np.arange(edges[g], min(n, edges[g] + GROUP))
         members = np.concatenate([np.arange(edges[x], min(n, edges[x] + GROUP)) for x in rest[near].tolist()] or [mine[:0]])
@@ -192,15 +187,14 @@ def _search(ids: np.ndarray, size: np.ndarray, fp: tuple[np.ndarray, np.ndarray]
 def _pairs(threshold: float, flush: int = 200_000):
     """For mapInArrow over cards sorted by key: candidate pairs of each node."""
 
-    def run(key, ids, size, fp0, fp1) -> pa.RecordBatch:
-        rank0, rank1 = gray_rank(fp0), gray_rank(fp1)
-        order = np.lexsort((rank1, rank0, key))
-        key, ids, size, fp = key[order], ids[order], size[order].astype(np.int64), (fp0[order], fp1[order])
+    def run(key, ids, size, fp) -> pa.RecordBatch:
+        order = np.lexsort((gray_rank(fp), key))
+        key, ids, size, fp = key[order], ids[order], size[order].astype(np.int64), fp[order]
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         n = np.diff(np.append(starts, len(key)))
         found_i, found_j = [], []
         for s, m in zip(starts[n > GROUP].tolist(), n[n > GROUP].tolist(), strict=True):
-            i, j = _search(ids[s : s + m], size[s : s + m], (fp[0][s : s + m], fp[1][s : s + m]), threshold)
+            i, j = _search(ids[s : s + m], size[s : s + m], fp[s : s + m], threshold)
             found_i.append(s + i)
             found_j.append(s + j)
         # Nodes of one group: each member with those behind it, one step further each time.
@@ -222,8 +216,8 @@ def _pairs(threshold: float, flush: int = 200_000):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, rows = [], 0
         for batch in batches:
-            key, ids, size, fp0, fp1 = (batch.column(i).to_numpy() for i in range(5))
-            kept.append((key, ids, size, fp0.view(np.uint64), fp1.view(np.uint64)))
+            key, ids, size, fp = (batch.column(i).to_numpy() for i in range(4))
+            kept.append((key, ids, size, fp.view(np.uint64)))
             rows += len(key)
             if rows < flush:
                 continue
@@ -253,14 +247,14 @@ def near_duplicates(docs: DataFrame, key: str, text: str, threshold: float = 0.8
     counts = rows.select("text").mapInArrow(_count(least), "bucket int, n bigint")
     rarity = spark.sparkContext.broadcast(sketch(counts).tobytes())
     cards = rows.mapInArrow(_cards(rarity, least, threshold), _CARDS)
-    card = F.struct("digest", "size", "fp0", "fp1", "keys")
+    card = F.struct("digest", "size", "fp", "keys")
     cards = cut(cards.groupBy("id").agg(F.min(card).alias("c")).select("id", "c.*"))
-    same = ("digest", "fp0", "fp1", "size")
+    same = ("digest", "fp", "size")
     classes = cards.groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     several = cut(classes.where("n > 1"))
     member = cut(cards.join(several.drop("n"), list(same)).select("id", "rep"))
     alone = member.where("id <> rep").select("id")
-    filed = cards.join(alone, "id", "left_anti").select(F.explode("keys").alias("key"), "id", "size", "fp0", "fp1")
+    filed = cards.join(alone, "id", "left_anti").select(F.explode("keys").alias("key"), "id", "size", "fp")
     nodes = filed.repartition("key").sortWithinPartitions("key")
     candidates = cut(nodes.mapInArrow(_pairs(threshold), "a bigint, b bigint").distinct())
     sides = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
