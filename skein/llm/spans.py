@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.codepoints import encode, sliding_max, sliding_min, window_hashes
+from skein.functions.sieve import Sieve
 from skein.operators.graph import connected_components
 from skein.session import cut, drop
 
@@ -125,21 +126,22 @@ def shared_spans(docs: DataFrame, min_len: int = 120, key: str = "doc_id", text:
     k, w = sizes(min_len)
     rows = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).where(f"doc is not null and length(text) >= {min_len}")
     marks = cut(rows.mapInArrow(_mark(k, w), "doc bigint, token bigint, at int"))
-    repeated = marks.groupBy("token").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("token")
-    occurrences = cut(marks.join(repeated, "token", "left_semi"))
+    repeated = cut(marks.groupBy("token").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("token"))
+    occurrences = cut(marks.where(Sieve(repeated, "token").passes("token")).join(repeated, "token", "left_semi"))
     drop(marks)
     # A passage that holds a token starts at most min_len before the token's end, and not behind its start.
     reach = F.struct((F.col("low") + k - min_len).alias("low"), (F.col("high") + 1).alias("high"))
-    regions = _paths(occurrences, k).groupBy("doc").agg(F.collect_set(reach).alias("regions"))
-    once = cut(rows.join(regions, "doc").groupBy("doc").agg(F.min("text").alias("text"), F.first("regions").alias("regions")))
+    regions = cut(_paths(occurrences, k).groupBy("doc").agg(F.collect_set(reach).alias("regions")))
+    once = cut(rows.where(Sieve(regions, "doc").passes("doc")).join(regions, "doc").groupBy("doc").agg(F.min("text").alias("text"), F.first("regions").alias("regions")))
     drop(occurrences)
     digest = once.select("doc", F.sha2("text", 256).alias("digest"), F.length("text").alias("n"))
     copies = digest.withColumn("first", F.min("doc").over(Window.partitionBy("digest"))).withColumn("n_copies", F.count("*").over(Window.partitionBy("digest")))
     copies = cut(copies.where("n_copies > 1").select("doc", "first", "n"))
     others = copies.where("doc <> first").select("doc")
+    # Equal hashes of min_len characters; those of other records decide, so a record's own repeats do not count.
     grams = cut(once.join(others, "doc", "left_anti").select("doc", "text", "regions").mapInArrow(_grams(min_len), "doc bigint, gram bigint, at int"))
-    shared = grams.groupBy("gram").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("gram")
-    starts = grams.join(shared, "gram", "left_semi").join(copies.select("doc"), "doc", "left_anti").select("doc", "at")
+    shared = cut(grams.groupBy("gram").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("gram"))
+    starts = grams.where(Sieve(shared, "gram").passes("gram")).join(shared, "gram", "left_semi").join(copies.select("doc"), "doc", "left_anti").select("doc", "at")
     order = Window.partitionBy("doc").orderBy("at")
     fresh = F.coalesce(F.col("at") > F.lag("at").over(order) + min_len, F.lit(True)).cast("int")
     spans = starts.withColumn("fresh", fresh).withColumn("span", F.sum("fresh").over(order)).groupBy("doc", "span")
