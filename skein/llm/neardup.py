@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.codepoints import CharClass, encode, mix, words
+from skein.functions.sieve import Sieve
 from skein.session import cut
 
 #: Buckets of the word-count sketch: 4 MB however large the corpus; it covers all records.
@@ -257,8 +258,8 @@ def near_duplicates(docs: DataFrame, key: str, text: str, threshold: float = 0.8
     filed = cards.join(alone, "id", "left_anti").select(F.explode("keys").alias("key"), "id", "size", "fp")
     nodes = filed.repartition("key").sortWithinPartitions("key")
     candidates = cut(nodes.mapInArrow(_pairs(threshold), "a bigint, b bigint").distinct())
-    sides = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = rows.join(sides, "id", "left_semi").select("id", F.array_distinct(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))).alias("set"))
+    sides = cut(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    sets = rows.where(Sieve(sides, "id").passes("id")).join(sides, "id", "left_semi").select("id", F.array_distinct(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))).alias("set"))
     sets = cut(sets.groupBy("id").agg(F.min("set").alias("set")))
     both = candidates.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
     overlap = F.size(F.array_intersect("sa", "sb"))
