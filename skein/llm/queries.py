@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.ids import as_key
-from skein.llm import conversations, mixing, neardup, pii, spans
+from skein.llm import conversations, language, mixing, neardup, pii, spans
 from skein.llm.sql import SQL
 from skein.session import cut, table
 
@@ -47,6 +47,23 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(*(F.col(c).cast("string").alias(n) for c, n in (("id", "tweet_id"), ("rep", "class_id"), ("group", "group_id"))), "links")
 
 
+def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tweets = table(spark, sf_dir, "twcs").select(F.lit("twcs").alias("src_table"), F.col("tweet_id").alias("record_id"), "text")
+    golden = table(spark, sf_dir, "golden_set").select(F.lit("golden_set").alias("src_table"), F.col("thread_id").alias("record_id"), F.col("first_customer_message").alias("text"))
+    return tweets.unionByName(golden)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _spoken(spark, sf_dir)
+    model = language.train(docs, table(spark, sf_dir, "lang_labels"))
+    return language.segments(language.identify(docs, model, only_mixed_or_foreign=True)).select("src_table", "record_id", "seg_no", "lang")
+
+
+def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _spoken(spark, sf_dir)
+    return language.segments(language.identify(docs, language.train(docs, table(spark, sf_dir, "lang_labels"))))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("source", mixing.count_pieces(F.col("text")).alias("tokens"))
     return mixing.supply(docs, table(spark, sf_dir, "mix_targets")).where("not reachable").select("source")
