@@ -24,13 +24,15 @@ LANGUAGES = ("de", "en", "es", "fr", "pt", "ru")
 DIM = 1 << 15
 #: Labelled messages the centroids are fitted on, per language: a bounded sample, taken in hash order of the ids.
 SAMPLE = 1_500
-CENTROIDS = 3
+CENTROIDS = 8
 #: A sentence further from all centroids than this, or whose best language leads by less, is rejected.
 LEAST_COSINE, LEAST_LEAD = 0.06, 0.03
 #: So is one nearer than that but not near, if a second language comes this close to the first.
-SURE_COSINE, MOST_RIVAL = 0.15, 0.6
-#: So is a sentence of fewer letters.
-LEAST_LETTERS = 8
+SURE_COSINE, MOST_RIVAL = 0.3, 0.65
+#: So is a sentence of fewer letters, unless the whole message has no other; one that gives a number or an address to write
+#: to needs as many more.
+LEAST_LETTERS = 12
+_GIVES = re.compile(r"\S@\S|\d(?:[ .()-]{0,2}\d){6,}|\d{2} \d{2} \d{2}|[a-z]{2}\d{6,}", re.I)
 
 # Names of the languages in labels, by their first letters.
 _NAMES = {"en": "en", "eng": "en", "de": "de", "ger": "de", "deu": "de", "fr": "fr", "fra": "fr", "fre": "fr", "es": "es", "spa": "es", "pt": "pt", "por": "pt", "ru": "ru", "rus": "ru"}
@@ -63,7 +65,9 @@ def mask(sentence: str) -> str:
 
 
 def n_letters(sentence: str) -> int:
-    return sum(map(str.isalpha, ASIDE.sub(" ", sentence)))
+    """The letters that speak for a sentence's language."""
+    n = sum(map(str.isalpha, ASIDE.sub(" ", sentence)))
+    return n - LEAST_LETTERS if _GIVES.search(sentence) else n
 
 
 def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,15 +140,18 @@ def fit(labelled: list[tuple[str, str, float]], df: np.ndarray, n_texts: int, ce
 
     Labels are partly wrong. Texts of the same letters count once, with the label that has most weight. Then messages
     that the mean vectors of the languages, twice cleaned this way, place in another language than their label's are left
-    out. What stays is clustered, by spherical k-means within each language.
+    out, unless several labels agree on them. What stays is clustered, by spherical k-means within each language.
     """
     votes: dict[str, dict[str, float]] = {}
+    times: dict[str, int] = {}
     for text, lang, weight in labelled:
         letters = " ".join(re.findall(r"[^\W\d_]+", ASIDE.sub(" ", text).lower()))
         own = votes.setdefault(letters, {})
         own[lang] = own.get(lang, 0) + weight
+        times[letters] = times.get(letters, 0) + 1
     texts = sorted(t for t in votes if t)
     langs = np.array([max(sorted(votes[t]), key=votes[t].get) for t in texts])
+    agreed = np.array([times[t] >= 3 and max(votes[t].values()) >= 0.7 * sum(votes[t].values()) for t in texts], bool)
     idf = np.log((1 + n_texts) / (1 + df)) + 1
     doc, gram, n = vectors(texts)
     val = n * idf[gram]
@@ -161,7 +168,7 @@ def fit(labelled: list[tuple[str, str, float]], df: np.ndarray, n_texts: int, ce
     kept = np.ones(len(texts), bool)
     for _ in range(2):
         means = np.stack([mean((langs == x) & kept) for x in present])
-        kept = np.array(present)[np.argmax(near(means), axis=1)] == langs
+        kept = agreed | (np.array(present)[np.argmax(near(means), axis=1)] == langs)
     cs, names = [], []
     for lang in present:
         own = (langs == lang) & kept if ((langs == lang) & kept).any() else langs == lang
@@ -233,6 +240,9 @@ def identify(docs: DataFrame, model: Model, only_mixed_or_foreign: bool = False)
                     # Names and addresses in another language than the sentence around them.
                     plain = [mask(p) for p in parts[i]]
                     got = segment(m.cosines(plain), [n_letters(p) for p in plain], m.langs)
+                    if not got and plain:
+                        whole = " ".join(plain)
+                        got = [(lang, c, 0, len(plain) - 1) for lang, c, _, _ in segment(m.cosines([whole]), [len(whole)], m.langs)]
                 else:
                     got = segment(cos[start:end], [n_letters(p) for p in parts[i]], m.langs)
                 if only_mixed_or_foreign and {lang for lang, *_ in got} <= {"en"}:
