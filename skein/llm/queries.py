@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.ids import as_key
-from skein.llm import conversations, language, mixing, neardup, pii, spans
+from skein.llm import conversations, language, leakage, mixing, neardup, pii, spans
 from skein.llm.sql import SQL
 from skein.session import cut, table
 
@@ -64,6 +64,14 @@ def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.segments(language.identify(docs, language.train(docs, table(spark, sf_dir, "lang_labels"))))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), ("paraphrase",)).select("doc_id", "item_id", "common")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("source", mixing.count_pieces(F.col("text")).alias("tokens"))
     return mixing.supply(docs, table(spark, sf_dir, "mix_targets")).where("not reachable").select("source")

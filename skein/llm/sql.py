@@ -48,6 +48,11 @@ SQL = {
     "p1_found": f"{_TURNS} select conv conv_id, cast(turn_no as integer) turn_no, id tweet_id, role from numbered where conv in (select conv from kept)",
     "p4_found": f"""{_NEAR} select a tweet_id_a, b tweet_id_b from cand join big x on x.tweet_id = a join big y on y.tweet_id = b
   where len(list_intersect(x.s, y.s)) >= 0.8 * (x.n + y.n - len(list_intersect(x.s, y.s)))""",
+    "p8_found": r"""with w as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w from documents),
+i as (select item_id, regexp_extract_all(lower(body), '[\p{L}\p{N}]+') w from eval_items),
+d as (select doc_id, array_to_string(w[k:k + 15], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 14)) k from w)),
+e as (select item_id, array_to_string(w[k:k + 15], ' ') g from (select item_id, w, unnest(range(1, len(w) - 14)) k from i))
+select distinct doc_id, item_id from d join e using (g)""",
     "p9_found": f"select source from ({_SUPPLY}) where not reachable",
     "p9_supply": _SUPPLY,
     "p10_found": f"{_SPANS} select * from spans",
