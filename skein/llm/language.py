@@ -229,22 +229,25 @@ def identify(docs: DataFrame, model: Model, only_mixed_or_foreign: bool = False)
             ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
             cos = m.cosines([s for p in parts for s in p])
             english = m.langs.index("en") if "en" in m.langs else -1
-            # Most messages are English throughout; only the others are taken apart.
-            foreign = np.append(0, np.cumsum(np.argmax(cos, axis=1) != english)) if len(cos) else np.zeros(1, np.int64)
-            keep, segs = [], []
+            # Most messages are English throughout; only those with a sentence nearer to another language are taken apart.
+            other = (np.argmax(cos, axis=1) != english) & (cos.max(axis=1) >= LEAST_COSINE)
+            foreign = np.diff(np.append(0, np.cumsum(other))[np.append(0, ends)]) > 0
+            # Names and addresses may be in another language than the sentence around them.
+            plain = {i: [mask(p) for p in parts[i]] for i in np.flatnonzero(foreign).tolist()}
+            again = m.cosines([s for p in plain.values() for s in p])
+            keep, segs, done = [], [], 0
             for i, end in enumerate(ends.tolist()):
-                start = end - len(parts[i])
-                if only_mixed_or_foreign and foreign[end] == foreign[start]:
+                if i in plain:
+                    own, rows = plain[i], again[done : done + len(parts[i])]
+                    done += len(own)
+                elif only_mixed_or_foreign:
                     continue
-                if foreign[end] != foreign[start]:
-                    # Names and addresses in another language than the sentence around them.
-                    plain = [mask(p) for p in parts[i]]
-                    got = segment(m.cosines(plain), [n_letters(p) for p in plain], m.langs)
-                    if not got and plain:
-                        whole = " ".join(plain)
-                        got = [(lang, c, 0, len(plain) - 1) for lang, c, _, _ in segment(m.cosines([whole]), [len(whole)], m.langs)]
                 else:
-                    got = segment(cos[start:end], [n_letters(p) for p in parts[i]], m.langs)
+                    own, rows = parts[i], cos[end - len(parts[i]) : end]
+                got = segment(rows, [n_letters(p) for p in own], m.langs)
+                if not got and own:
+                    whole = " ".join(own)
+                    got = [(lang, c, 0, len(own) - 1) for lang, c, _, _ in segment(m.cosines([whole]), [len(whole)], m.langs)]
                 if only_mixed_or_foreign and {lang for lang, *_ in got} <= {"en"}:
                     continue
                 keep.append(i)
