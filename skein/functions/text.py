@@ -37,8 +37,13 @@ def mentions(c: Column) -> Column:
     return F.transform(found, F.lower)
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(c, rf"^{SPACE}|{SPACE}$", "")
+
+
 def strip_leading_mentions(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, rf"^(@{WORD}+\s*)+", ""))
+    return strip(F.regexp_replace(c, rf"^(@{WORD}+[\s\p{{Z}}]*)+", ""))
 
 
 def is_dm_redirect(c: Column) -> Column:
@@ -46,7 +51,7 @@ def is_dm_redirect(c: Column) -> Column:
 
 
 def is_link_or_blank(c: Column) -> Column:
-    return F.coalesce((F.trim(c) == "") | c.rlike(URL_ONLY), F.lit(True))
+    return F.coalesce((strip(c) == "") | c.rlike(URL_ONLY), F.lit(True))
 
 
 def block_key(c: Column) -> Column:
@@ -86,6 +91,11 @@ def cache_key(provider: Column, model: Column, prompt: Column) -> Column:
     return F.sha2(body, 256)
 
 
+def round_to(c: Column, digits: int) -> Column:
+    """Rounded by arithmetic on doubles, so that every engine gives the same."""
+    return F.floor(c * 10.0**digits + 0.5) / 10.0**digits
+
+
 def draw(seed: int, *parts: Column) -> Column:
     """A pseudo-random whole number of 32 bits, the same in every engine: the first half of an MD5's half."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *(p.cast("string") for p in parts))), 1, 8), 16, 10).cast("bigint")
