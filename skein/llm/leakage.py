@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from skein.functions.codepoints import CharClass, encode, mix, window_hashes, words
 
 #: Words of a passage and the step to the next: any run of MIN_RUN words lies within one passage.
-MIN_RUN, PASSAGE, STEP = 16, 32, 16
+MIN_RUN, PASSAGE, STEP = 16, 48, 32
 RANK, POWER_ROUNDS = 64, 2
 #: A document's passage is a candidate for the items within this cosine. Of the verbatim runs of the test tables
-#: (16 words of a passage of 32) none comes below 0.47.
-NEAR, NEAR_PARAPHRASE = 0.35, 0.6
+#: (16 of a passage's 48 words) none comes below 0.35.
+NEAR, NEAR_PARAPHRASE = 0.25, 0.6
 #: Passages compared at once: their cosines stay in the processor's cache.
 BLOCK = 96
 #: Items compared at once; each block is a scan of the documents.
@@ -65,15 +65,20 @@ class Items:
         runs = [(window_hashes(h[e - len(w) : e], MIN_RUN), i) for i, (w, e) in enumerate(zip(self.words, ends, strict=True))]
         keys = [mix(g ^ mix(np.uint64(i) + np.zeros(1, np.uint64))) for g, i in runs if len(g)]
         self.runs = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
-        #: By the first 22 bits: most keys that are no run are told by this table, without a search.
+        #: Every item's runs, and their first 22 bits: most stretches of a document that are no run are told by these.
+        self.grams = np.unique(np.concatenate([g for g, _ in runs])) if runs else np.zeros(0, np.uint64)
         self.starts = np.zeros(1 << 22, bool)
-        self.starts[self.runs >> np.uint64(42)] = True
+        self.starts[self.grams >> np.uint64(42)] = True
 
-    def is_run(self, keys: np.ndarray) -> np.ndarray:
-        out = self.starts[keys >> np.uint64(42)]
-        out[out] = _lookup(self.runs, keys[out]) >= 0
+    def any_run(self, grams: np.ndarray) -> np.ndarray:
+        """Which of these runs of words are some item's."""
+        out = self.starts[grams >> np.uint64(42)]
+        out[out] = _lookup(self.grams, grams[out]) >= 0
         return out
 
+    def is_run(self, keys: np.ndarray) -> np.ndarray:
+        return _lookup(self.runs, keys) >= 0
+
 
 def _lookup(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """The place of each key, or -1."""
@@ -159,11 +164,16 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
 def _scan(items: Items, space: np.ndarray, targets: np.ndarray, verbatim: bool):
     owner = np.array([i for i, _ in items.passages], np.int64)
 
-    def near(terms: list[np.ndarray], least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(passage, item, cosine) of candidates, each item once per passage; some passages at a time."""
+    def near(terms: list[np.ndarray], least: float, checked: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(passage, item, cosine) of candidates, each item once per passage; some passages at a time.
+
+        ``checked`` says of each passage whether the check that follows can succeed at all.
+        """
         for a in range(0, len(terms), BLOCK):
             cos = _fold(terms[a : a + BLOCK], space) @ targets.T
-            p, q = np.nonzero(cos >= least)
+            p, q = np.divmod(np.flatnonzero(cos >= least), len(owner))
+            if checked is not None:
+                p, q = p[checked[p + a]], q[checked[p + a]]
             key = (p + a) * len(items.ids) + owner[q]
             order = np.lexsort((-cos[p, q], key))
             first = order[np.concatenate([[True], np.diff(key[order]) != 0])] if len(order) else order
@@ -193,7 +203,9 @@ def _scan(items: Items, space: np.ndarray, targets: np.ndarray, verbatim: bool):
                 spots = [(s + a, s + b) for s, e in zip(start[long].tolist(), end[long].tolist(), strict=True) for a, b in _passages(e - s, PASSAGE, STEP)]
                 grams = window_hashes(h, MIN_RUN)
                 lows, highs = (np.array([x[k] for x in spots], np.int64) for k in range(2))
-                for p, i, cos in near([at[a:b] for a, b in spots], NEAR):
+                hopes = np.concatenate([[0], np.cumsum(items.any_run(grams))])
+                checked = hopes[highs - MIN_RUN + 1] > hopes[lows]
+                for p, i, cos in near([at[a:b] for a, b in spots], NEAR, checked):
                     n = highs[p] - lows[p] - MIN_RUN + 1
                     offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     key = mix(grams[np.repeat(lows[p], n) + offset] ^ np.repeat(mix(i.astype(np.uint64)), n))
