@@ -38,8 +38,11 @@ _GIVES = re.compile(r"\S@\S|\d(?:[ .()-]{0,2}\d){6,}|\d{2} \d{2} \d{2}|[a-z]{2}\
 _NAMES = {"en": "en", "eng": "en", "de": "de", "ger": "de", "deu": "de", "fr": "fr", "fra": "fr", "fre": "fr", "es": "es", "spa": "es", "pt": "pt", "por": "pt", "ru": "ru", "rus": "ru"}
 
 _LETTER = CharClass(str.isalpha)
-#: What belongs to the sentence beside it: web addresses, e-mail addresses, mentions, hashtags, signatures, codes with digits.
-ASIDE = re.compile(r"https?://\S+|www\.\S+|\S+@\S+|[@#]\w+|\^\s?\w{1,3}\b|&\w+;|\S*\d\S*")
+#: What belongs to the sentence beside it has one of these marks: web and e-mail addresses, mentions, hashtags, signatures,
+#: numbers and codes.
+_MARK = CharClass(lambda c: c.isdigit() or c in "@#^&/")
+_SPACE = CharClass(lambda c: c.isspace() or c == "\0")
+ASIDE = re.compile(r"(?<!\S)[^\s\d@#^&/]*[\d@#^&/]\S*")
 _END = re.compile(r"(?<=[.!?…])[\"'»”)]*\s+|\n+")
 
 
@@ -72,9 +75,12 @@ def n_letters(sentence: str) -> int:
 
 def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, trigram, count): the trigrams of each text, hashed, sorted by text."""
-    low = [ASIDE.sub(" ", t).lower() for t in texts]
-    codes, starts = encode([f" {t} " for t in low])
+    codes, starts = encode([f" {t} " for t in map(str.lower, texts)])
     letter = _LETTER(codes)
+    piece = np.cumsum(_SPACE(codes))
+    aside = np.zeros(int(piece[-1]) + 1 if len(piece) else 0, bool)
+    aside[piece[_MARK(codes)]] = True
+    letter &= ~aside[piece]
     c = np.where(letter, codes, 0).astype(np.uint64)
     # A trigram's middle is a letter; what is no letter is an edge.
     h = mix(c[:-2] * np.uint64(0x9E3779B1) + c[1:-1] * np.uint64(0x85EBCA77C2B2AE63) + c[2:] * np.uint64(0xC2B2AE3D27D4EB4F))
