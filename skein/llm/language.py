@@ -171,6 +171,8 @@ def fit(labelled: list[tuple[str, str, float]], df: np.ndarray, n_texts: int, ce
         return _sums(doc, val[:, None] * c.T[gram], len(texts))
 
     present = [x for x in LANGUAGES if (langs == x).any()]
+    if not present:
+        return Model(idf, np.zeros((DIM, 1), np.float32), ["en"])  # everything is rejected
     kept = np.ones(len(texts), bool)
     for _ in range(2):
         means = np.stack([mean((langs == x) & kept) for x in present])
@@ -188,8 +190,6 @@ def fit(labelled: list[tuple[str, str, float]], df: np.ndarray, n_texts: int, ce
             centres = [mean(own & (at == k)) if (own & (at == k)).any() else c for k, c in enumerate(centres)]
         cs += centres
         names += [lang] * len(centres)
-    if not cs:
-        return Model(idf, np.zeros((DIM, 1), np.float32), ["en"])
     return Model(idf, np.stack(cs).T, names)
 
 
