@@ -61,6 +61,11 @@ class Items:
         ends = np.searchsorted(doc, np.arange(len(rows)), side="right")
         self.words = np.split(at, ends[:-1]) if len(rows) else []
         self.answers = [np.unique(w[f]) for w, f in zip(self.words, np.split(numeric, ends[:-1]) if len(rows) else [], strict=True)]
+        #: The items each answer word belongs to, and how many answers a document's passage must repeat of each item.
+        flat = np.array([(x, i) for i, own in enumerate(self.answers) for x in own.tolist()], np.int64).reshape(-1, 2)
+        flat = flat[np.argsort(flat[:, 0], kind="stable")]
+        self.answer_items, self.answer_at = flat[:, 1], np.searchsorted(flat[:, 0], np.arange(len(self.vocabulary) + 1))
+        self.needed = np.array([max(1, -(-LEAST_ANSWERS * min(len(own), PASSAGE // 8) // 1)) for own in self.answers])
         self.passages = [(i, w[a:b]) for i, w in enumerate(self.words) if len(w) for a, b in _passages(len(w), PASSAGE, STEP)]
         runs = [(window_hashes(h[e - len(w) : e], MIN_RUN), i) for i, (w, e) in enumerate(zip(self.words, ends, strict=True))]
         keys = [mix(g ^ mix(np.uint64(i) + np.zeros(1, np.uint64))) for g, i in runs if len(g)]
@@ -70,6 +75,12 @@ class Items:
         self.starts = np.zeros(1 << 22, bool)
         self.starts[self.grams >> np.uint64(42)] = True
 
+    def answered(self, terms: np.ndarray) -> np.ndarray:
+        """The items whose answers these words repeat often enough."""
+        of = [self.answer_items[self.answer_at[x] : self.answer_at[x + 1]] for x in np.unique(terms).tolist()]
+        items, n = np.unique(np.concatenate(of), return_counts=True) if of else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return items[n >= self.needed[items]]
+
     def any_run(self, grams: np.ndarray) -> np.ndarray:
         """Which of these runs of words are some item's."""
         out = self.starts[grams >> np.uint64(42)]
@@ -215,13 +226,16 @@ def _scan(items: Items, space: np.ndarray, targets: np.ndarray, verbatim: bool):
             else:
                 ends = np.searchsorted(doc, np.arange(batch.num_rows), side="right")
                 spots = [(e - n + a, e - n + b) for e, n in zip(ends.tolist(), np.diff(ends, prepend=0).tolist(), strict=True) if n for a, b in _passages(n, PASSAGE, STEP)]
-                for p, i, cos in near([at[a:b][at[a:b] >= 0] for a, b in spots], NEAR_PARAPHRASE):
+                known = [at[a:b][at[a:b] >= 0] for a, b in spots]
+                answered = [items.answered(x) for x in known]
+                checked = np.array([len(x) > 0 for x in answered], bool)
+                for p, i, cos in near(known, NEAR_PARAPHRASE, checked):
                     for k, item, c in zip(p.tolist(), i.tolist(), cos.tolist(), strict=True):
+                        if item not in answered[k]:
+                            continue
                         low, high = spots[k]
                         common = common_subsequence(at[low:high], items.words[item])
-                        own = items.answers[item][np.isin(items.answers[item], items.words[item])]
-                        part = np.isin(own, at[low:high]).sum()
-                        if common >= LEAST_COMMON * (high - low) and part >= LEAST_ANSWERS * max(1, min(len(own), PASSAGE // 8)):
+                        if common >= LEAST_COMMON * (high - low):
                             put(doc[[low]], np.array([item]), "paraphrase", np.array([c]), np.array([common]))
             if rows["doc_id"]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in rows.values()], list(rows))
