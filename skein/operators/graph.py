@@ -17,6 +17,35 @@ from pyspark.sql import functions as F
 from skein.session import cut, drop
 
 
+#: Edges that one task joins up at once instead of further rounds: a few megabytes, whatever the size of the table.
+FINISH = 100_000
+
+
+def _join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, to): each node but the smallest of its component to that one, by union-find over a bounded number of edges."""
+    up: dict = {}
+
+    def find(x):
+        top = x
+        while up.setdefault(top, top) != top:
+            top = up[top]
+        while up[x] != top:
+            up[x], x = top, up[x]
+        return top
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    if up:
+        ends = [(x, find(x)) for x in list(up)]
+        node, to = zip(*((x, t) for x, t in ends if x != t), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(node, kind), pa.array(to, kind)], ["node", "to"])
+
+
 def _contract(edges: DataFrame, order) -> tuple[DataFrame, DataFrame]:
     """One round: (node, to) pointers to the neighbour first in ``order``, and the edges between what they point to."""
     ahead = order("a") > order("b")
@@ -43,8 +72,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Each round points every node to a neighbour, shortens these pointers twice, and contracts the edges along them. The
     first round goes by id, as replies mostly point to older and smaller ids; later ones go by a hash that changes
-    with the round, so that a long chain loses a constant share of its nodes whatever its ids. The pointers of all
-    rounds are composed at the end, from the last and smallest to the first. Null ends and loops are ignored; repeated
+    with the round, so that a long chain loses a constant share of its nodes whatever its ids. When at most ``FINISH``
+    edges are left one task joins them up. The pointers of all rounds are composed at the end, from the last and smallest
+    to the first. Null ends and loops are ignored; repeated
     edges count once; no edges give no rows.
     """
     pairs = edges.select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b"))
@@ -52,7 +82,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     first, after = _contract(left, F.col)
     drop(left)
     left, rounds = after, []
-    while not left.isEmpty():
+    kind = first.schema["node"].dataType.simpleString()
+    while n := left.count():
+        if n <= FINISH:
+            rounds.append(cut(left.coalesce(1).mapInArrow(_join_up, f"node {kind}, to {kind}")))
+            break
         point, after = _contract(left, lambda c, r=len(rounds): F.struct(F.xxhash64(F.lit(r), F.col(c)), F.col(c)))
         drop(left)
         left = after

@@ -64,8 +64,10 @@ def test_empty_null_and_repeated_rows(spark):
     assert found(graph.hierarchy(df)) == {1: (1, 0), 2: (1, 1)}
 
 
+@pytest.mark.parametrize("finish", [100_000, 0])
 @pytest.mark.parametrize("seed", range(3))
-def test_components_are_those_of_union_find(spark, seed):
+def test_components_are_those_of_union_find(spark, monkeypatch, seed, finish):
+    monkeypatch.setattr(graph, "FINISH", finish)
     r = random.Random(seed)
     edges = [(r.randrange(80), r.randrange(80)) for _ in range(60)] + [(i, i + 1) for i in range(200, 260)] + [(None, 3), (5, 5)]
     up = {}
