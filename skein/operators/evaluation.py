@@ -70,11 +70,21 @@ def rater_pairs(ratings: DataFrame, item: str, rater: str, score: str) -> DataFr
     return kappa(a.join(b, "item").where("rater_a < rater_b"), "a", "b", by=["rater_a", "rater_b"])
 
 
-def average_ranks(rows: DataFrame, c: str) -> DataFrame:
-    """(value, rank): the mean rank of each distinct value, from counts; running sums go over distinct values."""
+def average_ranks(rows: DataFrame, c: str, buckets: int = 4096) -> DataFrame:
+    """(value, rank): the mean rank of each distinct value, from counts.
+
+    Running sums go over equal-width buckets of the values first, then within each bucket, so no task holds all values.
+    """
     counts = rows.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.select("value", (before + (F.col("n") + 1) / 2).alias("rank"))
+    span = counts.agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    place = F.coalesce(F.floor(F.try_divide(F.col("value") - F.col("low"), F.col("high") - F.col("low")) * buckets), F.lit(0))
+    counts = counts.join(F.broadcast(span)).withColumn("bucket", place)
+    sums = counts.groupBy("bucket").agg(F.sum("n").alias("in_bucket"))
+    upto = F.sum("in_bucket").over(Window.orderBy("bucket"))  # one row per bucket
+    sums = sums.select("bucket", (upto - F.col("in_bucket")).alias("ahead"))
+    within = Window.partitionBy("bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("ahead") + F.coalesce(F.sum("n").over(within), F.lit(0))
+    return counts.join(F.broadcast(sums), "bucket").select("value", (before + (F.col("n") + 1) / 2).alias("rank"))
 
 
 def correlations(rows: DataFrame, x: str, y: str) -> DataFrame:

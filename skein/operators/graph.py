@@ -271,7 +271,8 @@ def hierarchy(rows: DataFrame, paths: bool = False, co_locate: int = 50_000) ->
 
     - A parent that is no id of the table counts as none. Rows with a null id are left out; of an id given more than
       once the smallest parent counts. An empty table gives no rows; other columns are ignored.
-    - ``n_descendants`` of a member of a cycle counts only what hangs below it off the cycle.
+    - ``n_descendants`` of a member of a cycle counts only what hangs below it off the cycle. Without ``paths`` it is
+      null in components above ``co_locate``.
     - A root has depth 0 and is its own root. Nodes on a cycle, and below one, have depth -1 and as root the smallest
       id of that cycle. ``path`` leads from the root (or the cycle's member) down to the node.
     - Components of up to ``co_locate`` nodes are walked depth first in one task each; larger ones by pointer doubling.

@@ -73,7 +73,8 @@ def similarity(a: str, b: str) -> float:
 def greedy_copies(texts: DataFrame, threshold: float = 0.95) -> DataFrame:
     """(text) of near-copies among (text): within a block, in order of the text, each is dropped that is like one kept before.
 
-    Blocks are small (:func:`skein.functions.text.block_key`); the rows of one block go to one task.
+    Which copy is dropped depends on those kept before it, so the distinct texts of one block go to one task
+    (:func:`skein.functions.text.block_key`); for whole corpora the near-duplicate groups of ``skein.llm`` have no such limit.
     """
 
     def drop(block: pd.DataFrame) -> pd.DataFrame:

@@ -21,10 +21,14 @@ def lookup(prompts: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def within_budget(calls: DataFrame, when: str, provider: str, order: str, limit: int) -> DataFrame:
-    """Adds ``allowed``: whether a call is among the first ``limit`` of its provider and UTC day."""
+    """Adds ``allowed``: whether a call is among the first ``limit`` of its provider and UTC day. ``order`` is unique.
+
+    Only the first calls of a day are ranked together: each task drops what cannot be among them before the shuffle.
+    """
     day = F.date_format(when, "yyyy-MM-dd")
     place = F.row_number().over(Window.partitionBy(day, provider).orderBy(when, order))
-    return calls.withColumn("allowed", place <= limit)
+    first = calls.withColumn("_place", place).where(F.col("_place") <= limit).select(order, F.lit(True).alias("allowed"))
+    return calls.join(first, order, "left").withColumn("allowed", F.coalesce("allowed", F.lit(False)))
 
 
 def ledger(calls: DataFrame, when: str, provider: str) -> DataFrame:

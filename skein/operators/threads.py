@@ -24,7 +24,7 @@ def build_threads(rows: DataFrame, handle: str) -> DataFrame:
 
     (thread_id, tweet_count, customer_turn_count, brand_turn_count, channel_switch, first_customer_message,
     first_customer_created_at, turns). Turns are in order of time, null first, then id. Null texts stay null.
-    Each copy of a repeated row counts once.
+    Each copy of a repeated row counts once. ``turns`` nests a whole thread in one row.
     """
     once = rows.groupBy(as_key(F.col("tweet_id")).alias("id")).agg(*(F.min(c).alias(c) for c in ("author_id", "inbound", "created_at", "text")))
     named = once.join(thread_ids(rows), "id", "left").withColumn("thread_id", F.coalesce("thread_id", "id"))

@@ -11,7 +11,7 @@ from skein.functions.ids import author_key, clean_id
 from skein.functions.vectors import dot, unit
 from skein.operators import calibration, evaluation, labels, messages, retrieval, routing, sampling, services, threads
 from skein.plans.reference_sql import SQL
-from skein.session import shared_dir, table
+from skein.session import scratch, table
 from skein.sources import files
 
 __all__ = ["QUERIES", "SQL"]
@@ -26,25 +26,19 @@ def query(f):
     return f
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    import uuid
-
-    return f"{shared_dir(spark)}/skein-{name}-{uuid.uuid4().hex}"
-
-
 # Sources and sinks
 
 
 @query
 def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    path = _scratch(spark, "csv")
+    path = scratch(spark, "csv")
     files.write_messages_csv(table(spark, sf, "twcs").where(T.strip(F.col("text")) != ""), path)
     return files.read_messages_csv(spark, path).select("tweet_id", "inbound", F.unix_micros("created_at").alias("micros"), "text")
 
 
 @query
 def json_lines_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    rows, path = table(spark, sf, "labelled"), _scratch(spark, "json")
+    rows, path = table(spark, sf, "labelled"), scratch(spark, "json")
     files.write_json_lines(rows, path)
     return files.read_json_lines(spark, path, rows.schema, "first_customer_message")
 
@@ -57,7 +51,7 @@ def brand_json_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def run_log(spark: SparkSession, sf: str) -> DataFrame:
-    path = _scratch(spark, "log")
+    path = scratch(spark, "log")
     for name in ("twcs", "documents"):
         files.append_log(table(spark, sf, name).agg(F.lit(name).alias("stage"), F.count("*").alias("n_rows")), path)
     return spark.read.parquet(path)

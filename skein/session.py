@@ -49,15 +49,21 @@ def _delete(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for files that last as long as the program."""
+    path = f"{shared_dir(spark)}/skein-{name}-{uuid.uuid4().hex}"
+    _CUTS[path] = spark
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back, so that its lineage ends there.
 
     Unlike ``checkpoint()`` this runs the plan once, keeps the rows columnar, and survives a lost executor.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skein-{uuid.uuid4().hex}"
+    path = scratch(spark, "cut")
     df.write.parquet(path)
-    _CUTS[path] = spark
     back = spark.read.schema(df.schema).parquet(path)
     back._skein_path = path
     return back
