@@ -43,7 +43,7 @@ _LETTER = CharClass(str.isalpha)
 _MARK = CharClass(lambda c: c.isdigit() or c in "@#^&/")
 _SPACE = CharClass(lambda c: c.isspace() or c == "\0")
 ASIDE = re.compile(r"(?<!\S)[^\s\d@#^&/]*[\d@#^&/]\S*")
-_END = re.compile(r"(?<=[.!?…])[\"'»”)]*\s+|\n+")
+_END = re.compile(r"(?<=[.!?…])[\"'»”)]*\s+|\s+/\s+|\n+")
 
 
 def clean_label(c: Column) -> Column:

@@ -116,12 +116,15 @@ def _signals() -> ahocorasick.Automaton:
 
 
 _SIGNALS = _signals()
+#: Other spaces count as plain ones; places in the text stay the same.
+_SPACES = str.maketrans(dict.fromkeys("\xa0\u2007\u2009\u202f\u3000\t", " "))
 _MARKS = str.maketrans({c: " " for c in ".,;:!?()[]{}\"\n\t\r\xa0"})
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the personal items of a text, in order, none overlapping."""
     found: list[tuple[int, int, str]] = []
+    text = text.translate(_SPACES)
 
     def add(start: int, end: int, kind: str) -> None:
         if all(end <= s or start >= e for s, e, _ in found):
