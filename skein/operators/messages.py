@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,13 +79,17 @@ def greedy_copies(texts: DataFrame, threshold: float = 0.95) -> DataFrame:
     """
 
     def drop(block: pd.DataFrame) -> pd.DataFrame:
-        kept: list[str] = []
-        out = []
-        for t in sorted(block["text"]):
-            if any(similarity(k, t) >= threshold for k in kept):
+        rows = sorted(block["text"])
+        # How often each of 64 classes of characters occurs: no common subsequence is longer than what two texts share of it.
+        counts = np.stack([np.bincount(np.frombuffer(t.encode("utf-32-le"), np.uint32) % 64, minlength=64) for t in rows]).astype(np.int16)
+        lengths, kept, out = np.array([len(t) for t in rows]), np.zeros(len(rows), bool), []
+        for i, t in enumerate(rows):
+            near = np.flatnonzero(kept[:i])
+            most = np.minimum(counts[near], counts[i]).sum(axis=1)
+            if any(similarity(rows[k], t) >= threshold for k in near[2 * most >= threshold * (lengths[near] + len(t))]):
                 out.append(t)
             else:
-                kept.append(t)
+                kept[i] = True
         return pd.DataFrame({"text": pd.Series(out, dtype=object)})
 
     keyed = texts.where("text is not null").distinct().withColumn("block", T.block_key(F.col("text")))
