@@ -125,7 +125,9 @@ class Model:
         out = np.zeros((len(texts), len(self.langs)), np.float32)
         if len(doc):
             starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-            dots = np.add.reduceat(self.weights[gram] * n[:, None].astype(np.float32), starts)
+            rows, more = self.weights[gram], np.flatnonzero(n > 1)
+            rows[more] *= n[more, None].astype(np.float32)
+            dots = np.add.reduceat(rows, starts)
             norm = np.sqrt(np.add.reduceat((n * self.idf[gram]) ** 2, starts))
             best = np.maximum.reduceat(dots, self.first, axis=1)
             out[doc[starts]] = best / np.maximum(norm, 1e-9)[:, None]
