@@ -158,6 +158,11 @@ def _bound(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     return total - 2 * np.ceil(threshold / (1 + threshold) * total - 1e-9).astype(np.int64)
 
 
+def _most(total: np.ndarray, threshold: float) -> np.ndarray:
+    """No less than _bound of any two sizes that make up to ``total``; _bound itself falls where the parity of the sum changes."""
+    return np.floor(total * (1 - threshold) / (1 + threshold) + 1e-6).astype(np.int64)
+
+
 def _differ(fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64)
 
@@ -173,7 +178,7 @@ def _search(ids: np.ndarray, size: np.ndarray, fp: np.ndarray, threshold: float)
     for g in range(len(edges)):
         rest = np.arange(g, len(edges))
         shared = np.bitwise_count((pattern[rest] ^ pattern[g]) & mask[rest] & mask[g]).astype(np.int64)
-        near = (shared <= _bound(high[rest], high[g], threshold)) & (low[rest] * threshold <= high[g]) & (low[g] * threshold <= high[rest])
+        near = (shared <= _most(high[rest] + high[g], threshold)) & (low[rest] * threshold <= high[g]) & (low[g] * threshold <= high[rest])
         mine = np.arange(edges[g], min(n, edges[g] + GROUP))
         members = np.concatenate([np.arange(edges[x], min(n, edges[x] + GROUP)) for x in rest[near].tolist()] or [mine[:0]])
         i, j = np.repeat(mine, len(members)), np.tile(members, len(mine))

@@ -60,6 +60,28 @@ def test_large_nodes_are_searched_by_groups():
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == wanted
 
 
+@pytest.mark.parametrize("threshold", [0.6, 0.8, 0.9])
+def test_large_nodes_of_mixed_sizes_lose_no_pair(threshold):
+    # Sizes 13 and 14 may differ by 3 words at 0.8, two sets of 14 only by 2.
+    r = np.random.default_rng(1)
+    fp = np.repeat(np.arange(16, dtype=np.uint64) * np.uint64(0x0101010101010101), 48)
+    fp = fp[np.argsort(neardup.gray_rank(fp), kind="stable")]
+    size = r.integers(12, 40, len(fp))
+    size[:400] = r.integers(13, 15, 400)
+    for bits in (fp, fp & np.uint64(7), fp & np.uint64(0x0707)):
+        i, j = neardup._search(np.arange(len(fp)), size, bits, threshold)
+        a, b = np.triu_indices(len(fp), 1)
+        near = neardup._differ(bits, a, b) <= neardup._bound(size[a], size[b], threshold)
+        fits = (size[a] >= threshold * size[b]) & (size[b] >= threshold * size[a])
+        assert set(zip(a[near & fits].tolist(), b[near & fits].tolist(), strict=True)) <= set(zip(i.tolist(), j.tolist(), strict=True))
+
+
+def test_group_bound_is_no_less_than_that_of_any_members():
+    totals = np.arange(2, 4000)
+    for t in (0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0):
+        assert (neardup._most(totals, t) >= np.maximum.accumulate(neardup._bound(totals, np.zeros_like(totals), t))).all()
+
+
 def test_gray_rank_undoes_gray_code():
     n = np.arange(1000, dtype=np.uint64)
     assert (neardup.gray_rank(n ^ (n >> np.uint64(1))) == n).all()
