@@ -32,6 +32,8 @@ SKETCH = 1 << 22
 #: A word counted more often than this is filed together with a second word (and that with a third).
 COMMON = 2_000
 GROUP = 64
+#: Members of a large class that are paired at once.
+PART = 1_000
 
 _LETTER = CharClass(str.isalnum)
 WIDTH = 64
@@ -273,23 +275,37 @@ def near_duplicates(docs: DataFrame, key: str, text: str, threshold: float = 0.8
     return every, pairs
 
 
-def expand(classes: DataFrame, pairs: DataFrame, most: int = 100) -> DataFrame:
-    """(a, b) of records rather than classes: similar ones, and those of the same class.
+def expand(classes: DataFrame, pairs: DataFrame, most: int | None = None) -> DataFrame:
+    """(a, b) of records rather than classes: similar ones, and those of the same class. All of them, unless ``most`` is given.
 
     A class of more than ``most`` members is not expanded into all pairs: its members are linked to its representative,
-    and only that to other classes, so that groups stay whole while copies stay linear.
+    and only that to other classes, so that groups stay whole while copies stay linear. Large classes are paired in
+    parts of about ``PART`` members, so that no task has all pairs of one.
     """
     sizes = classes.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1")
     copied = classes.join(sizes, "rep")
-    open_ = copied.where(F.col("n") <= most).select("rep", "id")
-    left, right = (open_.select(F.col("rep"), F.col("id").alias(c)) for c in ("a", "b"))
-    within = left.join(right, "rep").where("a < b").select("a", "b")
-    star = copied.where((F.col("n") > most) & (F.col("rep") < F.col("id"))).select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    few = F.lit(True) if most is None else F.col("n") <= most
+    parts = sizes.where(few & (F.col("n") > PART)).select("rep", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    open_ = copied.where(few)
+    part = F.expr(f"pmod(hash(id), cast(ceil(n / {PART}) as int))")
+    open_ = open_.select("rep", "id", part.alias("part"))
+
+    def spread(rows: DataFrame, end: str) -> DataFrame:
+        out = rows.join(parts.withColumnRenamed("rep", end), end, "left")
+        return out.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+
+    left = spread(open_.select("rep", F.col("id").alias("a")), "rep")
+    within = left.join(open_.withColumnRenamed("id", "b"), ["rep", "part"]).where("a < b").select("a", "b")
+    out = within
+    if most is not None:
+        star = copied.where((F.col("n") > most) & (F.col("rep") < F.col("id"))).select(F.col("rep").alias("a"), F.col("id").alias("b"))
+        out = out.unionByName(star)
     sides = pairs
     for end in ("a", "b"):
-        members = open_.select(F.col("rep").alias(end), F.col("id").alias("m"))
-        sides = sides.join(members, end, "left").withColumn(end, F.coalesce("m", end)).drop("m")
-    return sides.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(within).unionByName(star)
+        members = open_.select(F.col("rep").alias(end), F.col("id").alias("m"), "part")
+        sides = spread(sides, end).join(members, [end, "part"], "left").where("m is not null or parts is null")
+        sides = sides.withColumn(end, F.coalesce("m", end)).drop("m", "part", "parts")
+    return sides.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(out)
 
 
 def groups(classes: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -96,3 +96,13 @@ def test_copies_nulls_and_short_texts(spark):
     by = {r["id"]: (r["rep"], r["group"], r["links"]) for r in neardup.groups(*neardup.near_duplicates(df, "key", "text")).collect()}
     assert by == {1: (1, 1, 1), 2: (1, 1, 1), 3: (3, 1, 1)}
     assert found(spark, [(None, None)]) == set()
+
+
+@pytest.mark.parametrize("part", [1000, 25])
+def test_large_classes_are_paired_in_full(spark, monkeypatch, part):
+    monkeypatch.setattr(neardup, "PART", part)
+    r = random.Random(7)
+    w = [f"word{i}" for i in range(14)]
+    mixed = [" ".join(r.sample(w, 14)) for _ in range(130)]
+    rows = list(enumerate(mixed + [" ".join(r.sample([*w, "more"], 15)) for _ in range(60)] + [" ".join([*w, "other"])]))
+    assert found(spark, rows) == brute(rows, 0.8, 12) != set()
