@@ -3,7 +3,8 @@
 Items are cut into overlapping passages; their TF-IDF matrix, weighted by word counts over the whole corpus, is reduced
 by a distributed randomised SVD. Passages of documents are folded into the same space and compared by cosine; whatever
 comes near an item's passage is checked word by word: for a verbatim run, or, for paraphrases, by the longest common
-subsequence and by the item's answers (its numbers and codes).
+subsequence and by the item's answers (its numbers and codes). A cosine of whole windows says little of a short stretch in
+one, so candidates for paraphrases are counted instead: the words and answers that a window shares with an item.
 
 The items are the query set: they are small and broadcast, in blocks of ``ITEM_BLOCK``. Documents are only ever scanned.
 """
@@ -23,14 +24,19 @@ from skein.functions.codepoints import CharClass, encode, mix, window_hashes, wo
 #: Words of a passage and the step to the next: any run of MIN_RUN words lies within one passage.
 MIN_RUN, PASSAGE, STEP = 16, 48, 32
 RANK, POWER_ROUNDS = 64, 2
-#: A document's passage is a candidate for the items within this cosine. Of the verbatim runs of the test tables
+#: A document's passage is a candidate for a verbatim run of the items within this cosine. Of the verbatim runs of the test tables
 #: (16 of a passage's 48 words) none comes below 0.35.
-NEAR, NEAR_PARAPHRASE = 0.25, 0.6
+NEAR = 0.25
 #: Passages compared at once: their cosines stay in the processor's cache.
 BLOCK = 96
 #: Items compared at once; each block is a scan of the documents.
 ITEM_BLOCK = 20_000
 LEAST_COMMON, LEAST_ANSWERS = 0.6, 0.5
+#: Fewest words of a paraphrase, and windows such that any stretch of so many words lies within one. TABLE items are counted at once.
+STRETCH, WINDOW, TABLE = 24, 32, 1_000
+HOP = WINDOW - STRETCH
+#: Answers that are enough in PASSAGE words of which 0.6 are the item's, and of a stretch by its own numbers.
+PASSAGE_ANSWERS = 3
 
 _WORD = CharClass(str.isalnum)
 _DIGIT = CharClass(str.isdigit)
@@ -61,11 +67,8 @@ class Items:
         ends = np.searchsorted(doc, np.arange(len(rows)), side="right")
         self.words = np.split(at, ends[:-1]) if len(rows) else []
         self.answers = [np.unique(w[f]) for w, f in zip(self.words, np.split(numeric, ends[:-1]) if len(rows) else [], strict=True)]
-        #: The items each answer word belongs to, and how many answers a document's passage must repeat of each item.
-        flat = np.array([(x, i) for i, own in enumerate(self.answers) for x in own.tolist()], np.int64).reshape(-1, 2)
-        flat = flat[np.argsort(flat[:, 0], kind="stable")]
-        self.answer_items, self.answer_at = flat[:, 1], np.searchsorted(flat[:, 0], np.arange(len(self.vocabulary) + 1))
-        self.needed = np.array([max(1, -(-LEAST_ANSWERS * min(len(own), PASSAGE // 8) // 1)) for own in self.answers])
+        #: How many answers a document's window must repeat of each item: half of those expected in so many words.
+        self.needed = np.array([max(1, -(-LEAST_ANSWERS * min(len(own), WINDOW // 8) // 1)) for own in self.answers])
         self.passages = [(i, w[a:b]) for i, w in enumerate(self.words) if len(w) for a, b in _passages(len(w), PASSAGE, STEP)]
         runs = [(window_hashes(h[e - len(w) : e], MIN_RUN), i) for i, (w, e) in enumerate(zip(self.words, ends, strict=True))]
         keys = [mix(g ^ mix(np.uint64(i) + np.zeros(1, np.uint64))) for g, i in runs if len(g)]
@@ -75,11 +78,18 @@ class Items:
         self.starts = np.zeros(1 << 22, bool)
         self.starts[self.grams >> np.uint64(42)] = True
 
-    def answered(self, terms: np.ndarray) -> np.ndarray:
-        """The items whose answers these words repeat often enough."""
-        of = [self.answer_items[self.answer_at[x] : self.answer_at[x + 1]] for x in np.unique(terms).tolist()]
-        items, n = np.unique(np.concatenate(of), return_counts=True) if of else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return items[n >= self.needed[items]]
+    def tables(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """By TABLE items: (first item, row of each word, has, answers, bodies); has and answers are words x items, the last row and word -1 no item's."""
+        for a in range(0, len(self.ids), TABLE):
+            words = self.words[a : a + TABLE]
+            own = np.unique(np.concatenate(words))
+            row = np.full(len(self.vocabulary) + 1, len(own))
+            row[own] = np.arange(len(own))
+            has, answers = (np.zeros((len(own) + 1, len(words)), np.uint8) for _ in range(2))
+            bodies = np.full((len(words), max(map(len, words))), -2)
+            for i, w in enumerate(words):
+                has[row[w], i], answers[row[self.answers[a + i]], i], bodies[i, : len(w)] = 1, 1, w
+            yield a, row, has, answers, bodies
 
     def any_run(self, grams: np.ndarray) -> np.ndarray:
         """Which of these runs of words are some item's."""
@@ -172,6 +182,125 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
+def longest_stretch(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int] | None:
+    """(start, end, common) of the longest stretch of a, of STRETCH words or more, of which b has LEAST_COMMON in order."""
+    rows = np.zeros((max(0, len(a) - STRETCH + 1), len(b) + 1), np.int16)
+    best = None
+    for k, equal in enumerate(a[:, None] == b):
+        own = rows[: k + 1]  # a row for each start so far
+        hit = own[:, :-1] + equal
+        np.maximum(hit, own[:, 1:], out=hit)
+        np.maximum.accumulate(hit, axis=1, out=own[:, 1:])
+        if k + 1 >= STRETCH:
+            n = k + 1 - np.arange(k + 2 - STRETCH)
+            fits = np.flatnonzero(own[: len(n), -1] >= LEAST_COMMON * n - 1e-9)
+            if len(fits) and (best is None or n[fits[0]] > best[1] - best[0]):
+                best = (int(fits[0]), k + 1, int(own[fits[0], -1]))
+    return best
+
+
+def _reach(a: np.ndarray, b: np.ndarray, common: int) -> int:
+    """The length of the shortest prefix of b that has ``common`` words of a in order."""
+    row = np.zeros(len(b) + 1, np.int64)
+    for x in a:
+        row = np.concatenate([[0], np.maximum.accumulate(np.maximum(row[:-1] + (b == x), row[1:]))])
+    return int(np.searchsorted(row, common))
+
+
+def _answers(stretch: np.ndarray, numbers: int, body: np.ndarray, answers: np.ndarray, common: int) -> bool:
+    """Whether a stretch repeats an answer, and half of those of the part of the item that it follows or half of its own ``numbers`` are the item's."""
+    there = len(np.intersect1d(stretch, answers))
+    if there >= PASSAGE_ANSWERS and there >= LEAST_ANSWERS * numbers:
+        return True
+    ends = sorted((_reach(stretch, body, common), len(body) - _reach(stretch[::-1], body[::-1], common)))
+    asked = np.intersect1d(body[slice(*ends)], answers)
+    return np.isin(asked, stretch).sum() >= max(1, LEAST_ANSWERS * len(asked))
+
+
+def _whole(part: np.ndarray, body: np.ndarray, answers: np.ndarray) -> int:
+    """The common words of a passage or a short document that repeats an item in LEAST_COMMON of all its words, with enough answers; else 0."""
+    if len(np.intersect1d(part, answers)) < max(1, -(-LEAST_ANSWERS * min(len(answers), 2 * PASSAGE_ANSWERS) // 1)) or np.isin(part, body).sum() < LEAST_COMMON * len(part):
+        return 0
+    common = common_subsequence(part, body)
+    return common if common >= LEAST_COMMON * len(part) else 0
+
+
+def _common(windows: np.ndarray, bodies: np.ndarray) -> np.ndarray:
+    """The length of the longest common subsequence of each row of the one and of the other."""
+    row = np.zeros((len(windows), bodies.shape[1] + 1), np.int8)
+    for k in range(windows.shape[1]):
+        hit = row[:, :-1] + (bodies == windows[:, k, None])
+        np.maximum(hit, row[:, 1:], out=hit)
+        np.maximum.accumulate(hit, axis=1, out=row[:, 1:])
+    return row[:, -1]
+
+
+def _dense(hits: np.ndarray) -> np.ndarray:
+    """Whether some stretch of STRETCH or more columns has LEAST_COMMON of them set, by row."""
+    total = np.zeros((len(hits), hits.shape[1] + 1), np.float32)
+    np.cumsum(hits - np.float32(LEAST_COMMON), axis=1, out=total[:, 1:])
+    low = np.minimum.accumulate(total, axis=1)
+    return (total[:, STRETCH:] - low[:, : total.shape[1] - STRETCH] >= -1e-3).any(axis=1)
+
+
+def _paraphrased(items: Items, at: np.ndarray, numeric: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(start, end, item, common) of windows with a stretch that repeats an item; ``common`` words of the longest one.
+
+    The counts that rule pairs out are upper bounds, so none is lost: the words, the answers, the words of a stretch,
+    and the common subsequence that a window has with an item.
+    """
+    least = int(np.ceil(LEAST_COMMON * STRETCH - 1e-9))
+    start_of, end_of = (np.repeat(x, ends - begins) for x in (begins, ends))  # of the document of each word
+    long = ends - begins >= STRETCH
+    # The last passage of a document, or all of a short one, counts as a whole.
+    short = [(a + _passages(b - a, PASSAGE, STEP)[-1][0], b) for a, b in zip(begins.tolist(), ends.tolist(), strict=True) if b > a]
+    begins, ends = begins[long], ends[long]
+    n = -(-(ends - begins) // HOP)
+    start = np.repeat(begins, n) + HOP * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    end = np.minimum(start + WINDOW, np.repeat(ends, n))
+    padded = np.concatenate([at, np.full(WINDOW, -1)])
+    for first, row, has, answers, bodies in items.tables():
+        needed = items.needed[first : first + len(bodies)]
+        for a, b in short:
+            rows = row[at[a:b]]
+            hopes = (has[rows].sum(axis=0, dtype=np.int64) >= LEAST_COMMON * (b - a)) & answers[rows].any(axis=0)
+            for item in (first + np.flatnonzero(hopes)).tolist():
+                if common := _whole(at[a:b], items.words[item], items.answers[item]):
+                    yield a, b, item, common
+        for a in range(0, len(start), 4_000):
+            s, e = start[a : a + 4_000], end[a : a + 4_000]
+            spots = s[:, None] + np.arange(WINDOW)
+            words = np.where(spots < e[:, None], padded[spots], -1)
+            w, i = [], []
+            for b in range(0, len(s), 50):
+                rows = row[words[b : b + 50]]
+                x, y = np.nonzero(has[rows].sum(axis=1, dtype=np.uint8) >= least)
+                enough = np.zeros(len(x), np.int64)
+                for k in range(WINDOW):
+                    enough += answers[rows[x, k], y]
+                w.append(x[enough >= needed[y]] + b)
+                i.append(y[enough >= needed[y]])
+            w, i = np.concatenate(w), np.concatenate(i)
+            for part in np.array_split(np.arange(len(w)), len(w) // 5_000 + 1):
+                x, y = w[part], i[part]
+                ok = _dense(has[row[words[x]], y[:, None]])
+                x, y = x[ok], y[ok]
+                ok = _common(words[x], bodies[y]) >= least
+                for k, item in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
+                    own, item = at[s[k] : e[k]], first + item
+                    body, wanted = items.words[item], items.answers[item]
+                    if np.isin(wanted, own).sum() < items.needed[item] or not (got := longest_stretch(own, body)):
+                        continue
+                    low, high = s[k] + got[0], s[k] + got[1]
+                    if _answers(at[low:high], int(numeric[low:high].sum()), body, wanted, got[2]):
+                        yield int(s[k]), int(e[k]), item, got[2]
+                        continue
+                    for low in (max(start_of[s[k]], s[k] + WINDOW - PASSAGE), s[k]):
+                        high = min(low + PASSAGE, end_of[s[k]])
+                        if common := _whole(at[low:high], body, wanted):
+                            yield int(low), int(high), item, common
+
+
 def _scan(items: Items, space: np.ndarray, targets: np.ndarray, verbatim: bool):
     owner = np.array([i for i, _ in items.passages], np.int64)
 
@@ -193,7 +322,7 @@ def _scan(items: Items, space: np.ndarray, targets: np.ndarray, verbatim: bool):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            h, doc, _ = _words(batch.column(1).to_pylist())
+            h, doc, numeric = _words(batch.column(1).to_pylist())
             at = _lookup(items.vocabulary, h)
             rows = {"doc_id": [], "item_id": [], "kind": [], "cosine": [], "common": []}
 
@@ -225,18 +354,11 @@ def _scan(items: Items, space: np.ndarray, targets: np.ndarray, verbatim: bool):
                     put(doc[lows[p[hit]]], i[hit], "verbatim", cos[hit], (found[hit] + MIN_RUN - 1).astype(np.int64))
             else:
                 ends = np.searchsorted(doc, np.arange(batch.num_rows), side="right")
-                spots = [(e - n + a, e - n + b) for e, n in zip(ends.tolist(), np.diff(ends, prepend=0).tolist(), strict=True) if n for a, b in _passages(n, PASSAGE, STEP)]
-                known = [at[a:b][at[a:b] >= 0] for a, b in spots]
-                answered = [items.answered(x) for x in known]
-                checked = np.array([len(x) > 0 for x in answered], bool)
-                for p, i, cos in near(known, NEAR_PARAPHRASE, checked):
-                    for k, item, c in zip(p.tolist(), i.tolist(), cos.tolist(), strict=True):
-                        if item not in answered[k]:
-                            continue
-                        low, high = spots[k]
-                        common = common_subsequence(at[low:high], items.words[item])
-                        if common >= LEAST_COMMON * (high - low):
-                            put(doc[[low]], np.array([item]), "paraphrase", np.array([c]), np.array([common]))
+                begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+                for a, b, item, common in _paraphrased(items, at, numeric, begins, ends.astype(np.int64)):
+                    known = at[a:b][at[a:b] >= 0]
+                    cos = (_fold([known], space) @ targets[owner == item].T).max(axis=1)
+                    put(doc[[a]], np.array([item]), "paraphrase", cos, np.array([common]))
             if rows["doc_id"]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in rows.values()], list(rows))
 
@@ -250,8 +372,9 @@ def leaks(docs: DataFrame, items: DataFrame, kinds: tuple[str, ...] = ("verbatim
     """(doc_id, item_id, kind, cosine, common) of every document and item that share a passage.
 
     ``verbatim``: at least 16 consecutive words of the item are consecutive in the document (``common`` words, in the
-    passage where most are). ``paraphrase``: a passage of the document is near one of the item's, a longest common
-    subsequence covers 0.6 of its words, and it repeats the item's answers. Words are runs of letters and digits,
+    passage where most are). ``paraphrase``: of a stretch of at least 24 words of the document the item has 0.6 in the
+    same order (``common`` words, in the window of 32 where most are), and it repeats half of the answers of the part of
+    the item that it follows, or half of its own numbers and codes are the item's answers. Words are runs of letters and digits,
     lower-cased. Null texts and keys leak nothing; items shorter than a run cannot be found verbatim; repeated items or
     documents come once per key. No items or no documents give no rows; extra columns are ignored.
     """

@@ -64,6 +64,20 @@ def test_paraphrases_share_order_and_answers(spark):
     assert (500, 77) in got and not {(501, 77), (502, 77)} & got
 
 
+def test_short_paraphrases_in_long_documents_are_found_at_every_offset(spark):
+    # 26 words of an item of 60, three of them changed, among 70 to 100 words that no item has.
+    r = random.Random(5)
+    items = [(i, " ".join(f"item{i}w{k}" if k % 6 else f"{i}{k}77" for k in range(60))) for i in range(4)]
+    docs = []
+    for offset in range(70, 101):
+        part = items[offset % 4][1].split()[13:39]
+        for k in (4, 12, 19):
+            part[k] = "changed"
+        other = [f"other{r.randrange(900)}" for _ in range(offset + 50)]
+        docs.append((offset, " ".join(other[:offset] + part + other[offset:])))
+    assert found(spark, docs, items, kinds=("paraphrase",)) == {(d, d % 4) for d, _ in docs}
+
+
 def test_common_subsequence():
     import numpy as np
 
