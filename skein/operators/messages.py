@@ -81,7 +81,7 @@ def greedy_copies(texts: DataFrame, threshold: float = 0.95) -> DataFrame:
     def drop(block: pd.DataFrame) -> pd.DataFrame:
         rows = sorted(block["text"])
         # How often each of 64 classes of characters occurs: no common subsequence is longer than what two texts share of it.
-        counts = np.stack([np.bincount(np.frombuffer(t.encode("utf-32-le"), np.uint32) % 64, minlength=64) for t in rows]).astype(np.int16)
+        counts = np.stack([np.bincount(np.frombuffer(t.encode("utf-32-le"), np.uint32) % 64, minlength=64) for t in rows]).astype(np.int32)
         lengths, kept, out = np.array([len(t) for t in rows]), np.zeros(len(rows), bool), []
         for i, t in enumerate(rows):
             near = np.flatnonzero(kept[:i])

@@ -165,3 +165,11 @@ def test_nearest_prefers_the_larger_label_on_ties(spark):
     cents = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0])], "label int, centroid array<double>")
     got = one(labels.nearest(spark.createDataFrame([(9, [1.0, 0.0])], "vec_id int, embedding array<double>"), cents))
     assert got["label"] == 2 and got["margin"] == 0.0
+
+
+def test_copies_of_very_long_texts_are_dropped(spark):
+    from skein.operators.messages import greedy_copies
+
+    long = "a" * 40_000
+    texts = spark.createDataFrame([(f"{long} one",), (f"{long} two",)], "text string")
+    assert [r["text"] for r in greedy_copies(texts).collect()] == [f"{long} two"]
