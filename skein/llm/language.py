@@ -1,9 +1,9 @@
 """The language of messages and of their segments, by nearest centroids of TF-IDF n-gram vectors.
 
 A sentence is a vector of character trigrams (within words, with their edges), weighted by TF-IDF and normalised. Each
-language has several centroids, clustered from labelled messages; a sentence takes the language of the centroid nearest
-by cosine. A sentence that is near to none, or about as near to another language, is rejected and belongs to the
-sentence beside it.
+language has several centroids, clustered from sentences of labelled messages, whose labels are cleaned by a model of
+their noise; a sentence takes the language of the centroid nearest by cosine. A sentence that is near to none, or about as
+near to another language, is rejected and belongs to the sentence beside it; both bounds are fitted on held-out sentences.
 """
 
 from __future__ import annotations
@@ -17,21 +17,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.codepoints import CharClass, encode, mix
-from skein.llm.pii import ADDRESS, NAME
+from skein.llm.pii import ADDRESS, NAME, signals
 
 LANGUAGES = ("de", "en", "es", "fr", "pt", "ru")
 #: Buckets that trigrams are hashed to.
 DIM = 1 << 15
 #: Labelled messages the centroids are fitted on, per language: a bounded sample, taken in hash order of the ids.
-SAMPLE = 1_500
-CENTROIDS = 8
-#: A sentence further from all centroids than this, or whose best language leads by less, is rejected.
-LEAST_COSINE, LEAST_LEAD = 0.06, 0.03
-#: So is one nearer than that but not near, if a second language comes this close to the first.
-SURE_COSINE, MOST_RIVAL = 0.3, 0.65
-#: So is a sentence of fewer letters, unless the whole message has no other; one that gives a number or an address to write
+SAMPLE = 3_000
+CENTROIDS, ROUNDS = 8, 10
+#: A centroid's components are damped by this power, so that trigrams of many sentences do not drown those of some.
+DAMPED = 0.75
+#: The share of distinct sentences held out to fit the bounds of rejection, and the share of those that belong to their language
+#: and would still be rejected. Fewer than FEW of them say nothing of such a share: then the bounds are those of :class:`Model`.
+HELD_OUT, REJECTED, FEW = 0.2, 0.004, 200
+#: A sentence whose labels agree this often, and that much likelier with one true language than with any other, needs no other proof.
+TIMES, LIKELIER = 3, 20.0
+#: A cluster with a smaller share of its language's sentences than this part of an even share is dropped.
+LEAST_CLUSTER = 0.1
+#: A sentence of fewer letters is rejected, unless the whole message has no other; one that gives a number or an address to write
 #: to needs as many more.
 LEAST_LETTERS = 12
+#: A message of so many letters in which all sentences are rejected needs only this part of the least cosine as a whole, as there is
+#: no sentence beside it to belong to.
+ALONE = 0.5
+#: Sentences whose cosines are taken at once: their rows stay in the processor's cache.
+AT_ONCE = 128
 _GIVES = re.compile(r"\S@\S|\d(?:[ .()-]{0,2}\d){6,}|\d{2} \d{2} \d{2}|[a-z]{2}\d{6,}", re.I)
 
 # Names of the languages in labels, by their first letters.
@@ -62,9 +72,11 @@ def sentences(text: str) -> list[str]:
 
 def mask(sentence: str) -> str:
     """A sentence without the names and addresses in it."""
-    for start, end in sorted(((*m.span("name"),) for m in NAME.finditer(sentence)), reverse=True):
-        sentence = sentence[:start] + sentence[end:]
-    return ADDRESS.sub(" ", sentence)
+    told = signals(sentence)
+    if "name" in told:
+        for start, end in sorted(((*m.span("name"),) for m in NAME.finditer(sentence)), reverse=True):
+            sentence = sentence[:start] + sentence[end:]
+    return ADDRESS.sub(" ", sentence) if "place" in told else sentence
 
 
 def n_letters(sentence: str) -> int:
@@ -111,28 +123,47 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 class Model:
-    """Centroids (one column each), their languages, and the weights of trigrams."""
+    """Centroids (one column each), their languages, the weights of trigrams, and the bounds of rejection.
 
-    def __init__(self, idf: np.ndarray, centroids: np.ndarray, langs: list[str]) -> None:
+    A sentence whose best cosine is below ``least``, or of which another language has more than ``rival`` times as much, is rejected.
+    """
+
+    def __init__(self, idf: np.ndarray, centroids: np.ndarray, langs: list[str], least: float = 0.05, rival: float = 0.8) -> None:
         order = sorted(range(len(langs)), key=lambda i: langs[i])
         self.langs = sorted(set(langs))
         self.first = np.array([next(k for k, i in enumerate(order) if langs[i] == lang) for lang in self.langs])
         self.idf, self.weights = idf, np.ascontiguousarray((idf[:, None] * centroids[:, order]).astype(np.float32))
+        self.least, self.rival = least, rival
 
     def cosines(self, texts: list[str]) -> np.ndarray:
         """The cosine of each text with the nearest centroid of each language; 0 for texts without letters."""
         doc, gram, n = vectors(texts)
         out = np.zeros((len(texts), len(self.langs)), np.float32)
-        if len(doc):
-            starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-            rows, more = self.weights[gram], np.flatnonzero(n > 1)
-            rows[more] *= n[more, None].astype(np.float32)
-            dots = np.add.reduceat(rows, starts)
-            norm = np.sqrt(np.add.reduceat((n * self.idf[gram]) ** 2, starts))
-            best = np.maximum.reduceat(dots, self.first, axis=1)
-            out[doc[starts]] = best / np.maximum(norm, 1e-9)[:, None]
+        if not len(doc):
+            return out
+        # The rows of the trigrams that occur, close together.
+        seen = np.zeros(DIM, bool)
+        seen[gram] = True
+        rows, at = self.weights[seen], (np.cumsum(seen) - 1)[gram]
+        starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        norm = np.sqrt(np.add.reduceat((n * self.idf[gram]) ** 2, starts))
+        times, ends = n.astype(np.float32), np.append(starts, len(doc))
+        for a in range(0, len(starts), AT_ONCE):
+            low, high = ends[a], ends[min(a + AT_ONCE, len(starts))]
+            own = rows[at[low:high]]
+            more = np.flatnonzero(n[low:high] > 1)
+            own[more] *= times[low:high][more, None]
+            dots = np.add.reduceat(own, starts[a : a + AT_ONCE] - low)
+            out[doc[starts[a : a + AT_ONCE]]] = np.maximum.reduceat(dots, self.first, axis=1)
+        out[doc[starts]] /= np.maximum(norm, 1e-9)[:, None]
         return out
 
+    def accepts(self, cos: np.ndarray, part: float = 1.0) -> np.ndarray:
+        """Which sentences, by their cosines with each language, are not rejected for their distance; with ``part`` of the least."""
+        best = cos.max(axis=1)
+        second = np.partition(cos, -2, axis=1)[:, -2] if cos.shape[1] > 1 else np.zeros(len(cos), cos.dtype)
+        return (best >= part * self.least) & (second <= self.rival * best)
+
 
 def _sums(doc: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Sums of the rows of ``values`` by ``doc``, which is sorted."""
@@ -143,59 +174,132 @@ def _sums(doc: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def fit(labelled: list[tuple[str, str, float]], df: np.ndarray, n_texts: int, centroids: int = CENTROIDS, rounds: int = 8) -> Model:
-    """Centroids from (text, lang, weight), the weight being how many labelled messages the row stands for.
+class _Vectors:
+    """Normalised TF-IDF vectors of some texts, each with a weight."""
 
-    Labels are partly wrong. Texts of the same letters count once, with the label that has most weight. Then messages
-    that the mean vectors of the languages, twice cleaned this way, place in another language than their label's are left
-    out, unless several labels agree on them. What stays is clustered, by spherical k-means within each language.
-    """
-    votes: dict[str, dict[str, float]] = {}
-    times: dict[str, int] = {}
-    for text, lang, weight in labelled:
-        letters = " ".join(re.findall(r"[^\W\d_]+", ASIDE.sub(" ", text).lower()))
-        own = votes.setdefault(letters, {})
-        own[lang] = own.get(lang, 0) + weight
-        times[letters] = times.get(letters, 0) + 1
-    texts = sorted(t for t in votes if t)
-    langs = np.array([max(sorted(votes[t]), key=votes[t].get) for t in texts])
-    agreed = np.array([times[t] >= 3 and max(votes[t].values()) >= 0.7 * sum(votes[t].values()) for t in texts], bool)
-    idf = np.log((1 + n_texts) / (1 + df)) + 1
-    doc, gram, n = vectors(texts)
-    val = n * idf[gram]
-    val = (val / np.sqrt(np.maximum(_sums(doc, val**2, len(texts)), 1e-9))[doc]).astype(np.float32)
+    def __init__(self, texts: list[str], weight: np.ndarray, idf: np.ndarray) -> None:
+        self.n, self.weight = len(texts), weight
+        self.doc, self.gram, n = vectors(texts)
+        val = n * idf[self.gram]
+        self.val = (val / np.sqrt(np.maximum(_sums(self.doc, val**2, len(texts)), 1e-9))[self.doc]).astype(np.float32)
 
-    def mean(members: np.ndarray) -> np.ndarray:
-        c = np.bincount(gram, weights=np.where(members[doc], val, 0), minlength=DIM)
+    def mean(self, members: np.ndarray) -> np.ndarray:
+        c = np.bincount(self.gram, weights=np.where(members[self.doc], self.val * self.weight[self.doc], 0), minlength=DIM)
         return (c / max(float(np.linalg.norm(c)), 1e-9)).astype(np.float32)
 
-    def near(c: np.ndarray) -> np.ndarray:
-        return _sums(doc, val[:, None] * c.T[gram], len(texts))
+    def near(self, centres: list[np.ndarray]) -> np.ndarray:
+        """The cosine of each text with each centre."""
+        return _sums(self.doc, self.val[:, None] * np.stack(centres, axis=1)[self.gram], self.n)
+
+    def pick(self, at: np.ndarray) -> _Vectors:
+        """Those of some of the texts, whose places are in order."""
+        out = object.__new__(_Vectors)
+        own = np.zeros(self.n, bool)
+        own[at] = True
+        keep = own[self.doc]
+        out.n, out.weight, out.gram, out.val = len(at), self.weight[at], self.gram[keep], self.val[keep]
+        out.doc = (np.cumsum(own) - 1)[self.doc[keep]]
+        return out
+
 
-    present = [x for x in LANGUAGES if (langs == x).any()]
-    if not present:
+def _distinct(labelled: list[tuple[str, str, float]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(sentences, votes, times) of labelled (text, lang, weight): the distinct sentences by their letters, what weight of labels
+    each has per language, and in how many texts it is."""
+    votes: dict[str, np.ndarray] = {}
+    times: dict[str, int] = {}
+    for text, lang, weight in labelled:
+        for part in {" ".join(re.findall(r"[^\W\d_]+", ASIDE.sub(" ", mask(s)).lower())) for s in sentences(text)} - {""}:
+            votes.setdefault(part, np.zeros(len(LANGUAGES)))[LANGUAGES.index(lang)] += weight
+            times[part] = times.get(part, 0) + 1
+    texts = sorted(votes)
+    return texts, np.array([votes[t] for t in texts]).reshape(-1, len(LANGUAGES)), np.array([times[t] for t in texts], float)
+
+
+def _noise(votes: np.ndarray, placed: np.ndarray) -> np.ndarray:
+    """How often each label is given to texts of each true language (true x given, none is 0), by the votes on placed texts."""
+    out = np.stack([votes[placed == i].sum(axis=0) for i in range(len(LANGUAGES))])
+    out = out / np.maximum(out.sum(axis=1, keepdims=True), 1e-9) + 0.01
+    return out / out.sum(axis=1, keepdims=True)
+
+
+def _likelihoods(votes: np.ndarray, noise: np.ndarray, present: list[int]) -> np.ndarray:
+    """The log-likelihood of votes (a row each) if the true language is each of those present."""
+    return votes @ np.log(noise[present]).T
+
+
+def _cluster(own: _Vectors, k: int, rounds: int, rng: np.random.Generator) -> list[np.ndarray]:
+    """Spherical k-means. Starts are ordinary members, drawn by their distance from those before, which counts no more than that
+    of most members: an outlier is no likelier a start than others. Small clusters are dropped."""
+    centres = [own.mean(np.ones(own.n, bool))]
+    far = 1 - own.near(centres)[:, 0]
+    while len(centres) < min(k, own.n):
+        odds = own.weight * np.minimum(far, np.quantile(far, 0.75)).clip(1e-6)
+        start = own.mean(np.arange(own.n) == rng.choice(own.n, p=odds / odds.sum()))
+        far = np.minimum(far, 1 - own.near([start])[:, 0])
+        centres.append(start)
+    for r in range(rounds):
+        at = np.argmax(own.near(centres), axis=1)
+        size = np.bincount(at, weights=own.weight, minlength=len(centres))
+        least = LEAST_CLUSTER * own.weight.sum() / k if r > 1 else 0
+        centres = [own.mean(at == i) for i in range(len(centres)) if size[i] > least]
+    return centres
+
+
+def fit(labelled: list[tuple[str, str, float]], df: np.ndarray, n_texts: int, centroids: int = CENTROIDS, rounds: int = ROUNDS, seed: int = 0) -> Model:
+    """A model from (text, lang, weight), the weight being how many labelled messages the row stands for.
+
+    Labels are often wrong, and mixed texts have only one. The distinct sentences are placed by the mean vectors of the
+    languages; how often each label is given to sentences of each language is the noise of the labels. A sentence of
+    several labels takes the language that makes them likeliest; one of a single label is kept only if it is placed there.
+    What is kept is clustered within each language. A cluster whose labels are likelier those of another language is
+    dropped. A share of the sentences takes no part in this: the bounds of rejection are quantiles of its cosines.
+    """
+    texts, votes, times = _distinct(labelled)
+    idf = np.log((1 + n_texts) / (1 + df)) + 1
+    if not texts:
         return Model(idf, np.zeros((DIM, 1), np.float32), ["en"])  # everything is rejected
-    kept = np.ones(len(texts), bool)
-    for _ in range(2):
-        means = np.stack([mean((langs == x) & kept) for x in present])
-        kept = agreed | (np.array(present)[np.argmax(near(means), axis=1)] == langs)
-    cs, names = [], []
-    for lang in present:
-        own = (langs == lang) & kept if ((langs == lang) & kept).any() else langs == lang
-        centres = [mean(own)]
-        # Starts far apart: each next centre is the text least like those before.
-        while len(centres) < min(centroids, int(own.sum())):
-            like = np.where(own, near(np.stack(centres)).max(axis=1), np.inf)
-            centres.append(mean(np.arange(len(texts)) == np.argmin(like)))
-        for _ in range(rounds):
-            at = np.argmax(near(np.stack(centres)), axis=1)
-            centres = [mean(own & (at == k)) if (own & (at == k)).any() else c for k, c in enumerate(centres)]
-        cs += centres
-        names += [lang] * len(centres)
-    return Model(idf, np.stack(cs).T, names)
-
-
-def segment(cos: np.ndarray, letters: list[int], langs: list[str]) -> list[tuple[str, float, int, int]]:
+    rng = np.random.default_rng(seed)
+    every, label = _Vectors(texts, times, idf), np.argmax(votes, axis=1)
+    held = rng.random(len(texts)) < HELD_OUT
+    held &= np.bincount(label[~held], minlength=len(LANGUAGES))[label] > 0
+    present = np.flatnonzero(np.bincount(label[~held], minlength=len(LANGUAGES)))
+    counts, kept = votes / votes.sum(axis=1, keepdims=True) * times[:, None], ~held
+    for _ in range(4):
+        means = [every.mean((label == i) & (kept if (kept & (label == i)).any() else ~held)) for i in present]
+        placed = present[np.argmax(every.near(means), axis=1)]
+        noise = _noise(votes, placed)
+        like = _likelihoods(counts, noise, present)
+        top = np.sort(like, axis=1)
+        sure = (times >= TIMES) & ((top[:, -1] - top[:, -2] > np.log(LIKELIER)) if len(present) > 1 else True)
+        label = np.where(sure, present[np.argmax(like, axis=1)], label)
+        kept = ~held & (sure | (placed == label))
+    centres, names = [], []
+    for i in present.tolist():
+        own = np.flatnonzero((label == i) & kept)
+        found = _cluster(every.pick(own), centroids, rounds, rng) if len(own) else []
+        centres += found
+        names += [i] * len(found)
+    while True:
+        near = every.near(centres)
+        at = np.argmax(near, axis=1)[~held]
+        given = np.stack([np.bincount(at, weights=votes[~held, i], minlength=len(names)) for i in range(len(LANGUAGES))], axis=1)
+        good = (present[np.argmax(_likelihoods(given, noise, present), axis=1)] == np.array(names)) | (given.sum(axis=1) == 0)
+        if good.all() or not good.any():
+            break
+        centres, names = [c for c, g in zip(centres, good, strict=True) if g], [x for x, g in zip(names, good, strict=True) if g]
+    damped = [c**DAMPED / max(float(np.linalg.norm(c**DAMPED)), 1e-9) for c in centres]
+    model = Model(idf, np.stack(damped, axis=1), [LANGUAGES[i] for i in names])
+    # Held-out sentences that are placed as they are labelled, long enough to speak for themselves.
+    asked = np.flatnonzero(held & (placed == label))
+    asked = asked[[sum(map(str.isalpha, texts[i])) >= LEAST_LETTERS for i in asked.tolist()]]
+    cos = np.sort(model.cosines([texts[i] for i in asked.tolist()]), axis=1)
+    if len(cos) >= FEW and cos.shape[1] > 1:
+        model.least = float(np.quantile(cos[:, -1], REJECTED / 2))
+        model.rival = float(np.quantile(cos[:, -2] / np.maximum(cos[:, -1], 1e-9), 1 - REJECTED / 2))
+    return model
+
+
+def segment(cos: np.ndarray, accepted: np.ndarray, langs: list[str]) -> list[tuple[str, float, int, int]]:
     """(lang, confidence, first, last) runs of a message's sentences, from their cosines with each language.
 
     Rejected sentences belong to the run before them, those at the start to the run after. The confidence is the share of
@@ -203,9 +307,7 @@ def segment(cos: np.ndarray, letters: list[int], langs: list[str]) -> list[tuple
     """
     runs: list[list] = []
     for i, row in enumerate(cos):
-        two = np.partition(row, -2)[-2:] if len(row) > 1 else np.array([0, row[0]])
-        unsure = two[1] < SURE_COSINE and two[0] > MOST_RIVAL * two[1]
-        if two[1] < LEAST_COSINE or two[1] - two[0] < LEAST_LEAD or unsure or letters[i] < LEAST_LETTERS:
+        if not accepted[i]:
             if runs:
                 runs[-1][2] = i
             continue
@@ -218,6 +320,41 @@ def segment(cos: np.ndarray, letters: list[int], langs: list[str]) -> list[tuple
     return [(lang, float(v[langs.index(lang)] / v.sum()), a, b) for lang, a, b, v in runs]
 
 
+def classify(texts: list[str], m: Model) -> tuple[list[tuple[int, list[tuple[str, float, int, int]]]], np.ndarray, np.ndarray, np.ndarray]:
+    """(apart, english, confidence, sentences): the texts taken apart, by place and with their segments; which of the others are
+    English, with what confidence, and how many sentences each text has.
+
+    Texts no sentence of which is nearer to another language than to English are English, or nothing if all their
+    sentences are rejected. The others are taken apart without the names and addresses in them, which may be in another
+    language than the sentence around them. Where all sentences are rejected the whole text may still speak for itself.
+    """
+    parts = [sentences(t) for t in texts]
+    n = np.array([len(p) for p in parts], np.int64)
+    cos = m.cosines([s for p in parts for s in p])
+    own = np.repeat(np.arange(len(texts)), n)
+    english = m.langs.index("en") if "en" in m.langs else -1
+    other = (np.argmax(cos, axis=1) != english) & (cos.max(axis=1) >= ALONE * m.least)
+    foreign = np.bincount(own[other], minlength=len(texts)) > 0
+    speaks = m.accepts(cos) & ~foreign[own] & (english >= 0)
+    power = np.stack([np.bincount(own[speaks], weights=cos[speaks, i].astype(float) ** 2, minlength=len(texts)) for i in range(len(m.langs))], axis=1)
+    total = power.sum(axis=1)
+    at = np.flatnonzero(foreign).tolist()
+    plain = [[mask(p) for p in parts[i]] for i in at]
+    cos = m.cosines([s for p in plain for s in p])
+    good = m.accepts(cos) & np.array([n_letters(s) >= LEAST_LETTERS for p in plain for s in p], bool)
+    apart, done = [], 0
+    for i, p in zip(at, plain, strict=True):
+        rows = slice(done, done + len(p))
+        done += len(p)
+        got = segment(cos[rows], good[rows], m.langs)
+        if not got:
+            row = m.cosines([" ".join(p)]) if len(p) > 1 else cos[rows]
+            part = ALONE if sum(map(n_letters, p)) >= LEAST_LETTERS else 1.0
+            got = [(lang, c, 0, len(p) - 1) for lang, c, _, _ in segment(row, m.accepts(row, part), m.langs)]
+        apart.append((i, got))
+    return apart, (total > 0), power[:, english] / np.maximum(total, 1e-12), n
+
+
 _OUT = "src_table string, record_id string, segs array<struct<lang:string,confidence:double,first:int,last:int>>"
 
 
@@ -231,36 +368,14 @@ def identify(docs: DataFrame, model: Model, only_mixed_or_foreign: bool = False)
     kind = pa.list_(pa.struct([("lang", pa.string()), ("confidence", pa.float64()), ("first", pa.int32()), ("last", pa.int32())]))
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
-            parts = [sentences(t) for t in batch.column(2).to_pylist()]
-            ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
-            cos = m.cosines([s for p in parts for s in p])
-            english = m.langs.index("en") if "en" in m.langs else -1
-            # Most messages are English throughout; only those with a sentence nearer to another language are taken apart.
-            other = (np.argmax(cos, axis=1) != english) & (cos.max(axis=1) >= LEAST_COSINE)
-            foreign = np.diff(np.append(0, np.cumsum(other))[np.append(0, ends)]) > 0
-            # Names and addresses may be in another language than the sentence around them.
-            plain = {i: [mask(p) for p in parts[i]] for i in np.flatnonzero(foreign).tolist()}
-            again = m.cosines([s for p in plain.values() for s in p])
-            keep, segs, done = [], [], 0
-            for i, end in enumerate(ends.tolist()):
-                if i in plain:
-                    own, rows = plain[i], again[done : done + len(parts[i])]
-                    done += len(own)
-                elif only_mixed_or_foreign:
-                    continue
-                else:
-                    own, rows = parts[i], cos[end - len(parts[i]) : end]
-                got = segment(rows, [n_letters(p) for p in own], m.langs)
-                if not got and own:
-                    whole = " ".join(own)
-                    got = [(lang, c, 0, len(own) - 1) for lang, c, _, _ in segment(m.cosines([whole]), [len(whole)], m.langs)]
-                if only_mixed_or_foreign and {lang for lang, *_ in got} <= {"en"}:
-                    continue
-                keep.append(i)
-                segs.append([dict(zip(("lang", "confidence", "first", "last"), s, strict=True)) for s in got])
-            at = pa.array(keep, pa.int64())
+            apart, english, sure, n = classify(batch.column(2).to_pylist(), shared.value)
+            if only_mixed_or_foreign:
+                out = {i: got for i, got in apart if not {lang for lang, *_ in got} <= {"en"}}
+            else:
+                out = {i: [("en", sure[i], 0, n[i] - 1)] if english[i] else [] for i in range(batch.num_rows)} | dict(apart)
+            segs = [[dict(zip(("lang", "confidence", "first", "last"), s, strict=True)) for s in got] for got in out.values()]
+            at = pa.array(list(out), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(segs, kind)], ["src_table", "record_id", "segs"])
 
     rows = docs.select(F.col("src_table").cast("string"), F.col("record_id").cast("string"), F.col("text").cast("string")).where("text is not null")

@@ -121,6 +121,11 @@ _SPACES = str.maketrans(dict.fromkeys("\xa0\u2007\u2009\u202f\u3000\t", " "))
 _MARKS = str.maketrans({c: " " for c in ".,;:!?()[]{}\"\n\t\r\xa0"})
 
 
+def signals(text: str) -> set[str]:
+    """The kinds of items of which a text holds a signal word."""
+    return {what for _, what in _SIGNALS.iter(f" {text.translate(_SPACES).lower().translate(_MARKS)} ")}
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the personal items of a text, in order, none overlapping."""
     found: list[tuple[int, int, str]] = []

@@ -52,3 +52,43 @@ def test_no_labels(spark, data):
     docs, labels = data
     model = language.train(docs, labels.limit(0))
     assert found(spark, model, ["der Akku lädt nicht"]) == [[]]
+
+
+def _made_up(seed, n, wrong):
+    """n messages of templates with slots per language, most of them English, and a label each; a share of the labels is wrong."""
+    rng = np.random.default_rng(seed)
+    shapes = {
+        "en": ["{} drains overnight since the last update of the {}", "please tell us whether the {} works on your {}", "thanks for flagging that the {} sends empty messages to the {}", "no luck with {} and {}", "who do I talk to about {} of the {}"],
+        "de": ["{} wurde nicht geliefert obwohl {} bezahlt ist", "könnt ihr bitte prüfen ob {} bei {} noch läuft", "ich warte seit Tagen auf eine Antwort wegen {} und {}"],
+        "es": ["por qué {} no funciona desde ayer con {}", "necesito que miren {} porque mi {} se reinicia solo", "todavía no me han contestado sobre {} y {}"],
+    }
+    slot = lambda: "".join(rng.choice(list("abcdefgilmnorstuvz"), 7))
+    rows = []
+    for _ in range(n):
+        lang = rng.choice(["en", "de", "es"], p=[0.8, 0.1, 0.1])
+        text = rng.choice(shapes[lang]).format(slot(), slot())
+        rows.append((text, str(rng.choice([x for x in shapes if x != lang]) if rng.random() < wrong else lang), lang))
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_wrong_labels_make_no_centroids(seed):
+    rows = _made_up(seed, 1_500, 0.15)  # more than half of the messages labelled de or es are English
+    held = _made_up(100 + seed, 1_000, 0)
+    df = np.bincount(language.vectors([t for t, *_ in rows])[1], minlength=language.DIM)
+    model = language.fit([(t, given, 1.0) for t, given, _ in rows], df, len(rows))
+    cos = model.cosines([t for t, *_ in held])
+    named = np.array(model.langs)[np.argmax(cos, axis=1)]
+    true = np.array([t for *_, t in held])
+    taken = model.accepts(cos)
+    assert (named == true)[taken].mean() >= 0.99 and taken.mean() >= 0.9
+
+
+def test_both_forms_agree(spark, data):
+    docs, labels = data
+    model = language.train(docs, labels)
+    texts = docs.unionByName(spark.createDataFrame([("t", "m", "Der Akku lädt nicht mehr. Please send us a message with your order."), ("t", "o", "ok")], docs.schema))
+    every = {(r["record_id"], r["seg_no"], r["lang"]) for r in language.segments(language.identify(texts, model)).collect()}
+    english = {i for i, *_ in every} - {i for i, _, lang in every if lang != "en"}
+    some = {(r["record_id"], r["seg_no"], r["lang"]) for r in language.segments(language.identify(texts, model, only_mixed_or_foreign=True)).collect()}
+    assert some == {x for x in every if x[0] not in english}
