@@ -188,8 +188,13 @@ class _Vectors:
         return (c / max(float(np.linalg.norm(c)), 1e-9)).astype(np.float32)
 
     def near(self, centres: list[np.ndarray]) -> np.ndarray:
-        """The cosine of each text with each centre."""
-        return _sums(self.doc, self.val[:, None] * np.stack(centres, axis=1)[self.gram], self.n)
+        """The cosine of each text with each centre; some texts at a time, so that little memory is needed."""
+        c, out = np.stack(centres, axis=1), np.zeros((self.n, len(centres)), np.float32)
+        ends = np.searchsorted(self.doc, np.arange(0, self.n + 2_000, 2_000))
+        for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+            some = out[2_000 * i : 2_000 * (i + 1)]
+            some[:] = _sums(self.doc[a:b] - 2_000 * i, self.val[a:b, None] * c[self.gram[a:b]], len(some))
+        return out
 
     def pick(self, at: np.ndarray) -> _Vectors:
         """Those of some of the texts, whose places are in order."""
