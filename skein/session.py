@@ -36,9 +36,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A private one is made only where the session names none."""
+    """The folder all executors share, as the session names it in ``spark.checkpoint.dir``.
+
+    A session that names none gets a private one only on a local master, where the driver is the executor; on a cluster a
+    folder of one machine would lose data, so there it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="skein-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
