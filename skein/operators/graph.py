@@ -210,6 +210,22 @@ def co_located_walk(nodes: DataFrame, paths: bool = False) -> DataFrame:
     return ready.repartition("component").sortWithinPartitions("component").mapInArrow(_walker(paths), schema)
 
 
+def count_below(forest: DataFrame) -> DataFrame:
+    """(id, n) of a forest (id, parent), whatever its depth: how many nodes each has below it, by log2(depth) joins.
+
+    With the counts of what is nearer than 2^k below each node, those of what is nearer than 2^(k+1) follow: a node takes
+    over the counts of the nodes exactly 2^k below it.
+    """
+    state = cut(forest.select("id", F.col("parent").alias("up"), F.lit(1).cast("bigint").alias("n")))
+    while not state.where("up is not null").isEmpty():
+        given = state.where("up is not null").groupBy(F.col("up").alias("id")).agg(F.sum("n").alias("more"))
+        onward = state.select(F.col("id").alias("up"), F.col("up").alias("up2"))
+        after = cut(state.join(given, "id", "left").join(onward, "up", "left").select("id", F.col("up2").alias("up"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")))
+        drop(state)
+        state = after
+    return state.select("id", (F.col("n") - 1).alias("n"))
+
+
 def doubled_walk(nodes: DataFrame, paths: bool = False) -> DataFrame:
     """The result of :func:`co_located_walk`, by pointer doubling: log2(depth) joins, whatever the size of a tree.
 
@@ -252,7 +268,11 @@ def doubled_walk(nodes: DataFrame, paths: bool = False) -> DataFrame:
         *(["trail"] if paths else []),
     )
     if not paths:
-        return out.select("id", "root", "depth", "on_cycle", F.lit(None).cast("bigint").alias("n_descendants"))
+        # The members of a cycle are the roots of what hangs below them.
+        out = cut(out)
+        cyclic = out.where("on_cycle").select("id", F.lit(True).alias("ringed"))
+        forest = parent.join(cyclic, "id", "left").select("id", F.when(F.col("ringed").isNull(), F.col("parent")).alias("parent"))
+        return out.join(count_below(forest).withColumnRenamed("n", "n_descendants"), "id").select("id", "root", "depth", "on_cycle", "n_descendants")
     rings = out.where("on_cycle").select("id", F.lit(True).alias("ringed"))
     steps_up = out.select("id", "root", "depth", "on_cycle", F.posexplode("trail").alias("pos", "anc")).join(rings.withColumnRenamed("id", "anc"), "anc", "left")
     # In a tree the trail ends at the root; below a cycle the path starts at the first cycle member met.
@@ -271,8 +291,7 @@ def hierarchy(rows: DataFrame, paths: bool = False, co_locate: int = 50_000) ->
 
     - A parent that is no id of the table counts as none. Rows with a null id are left out; of an id given more than
       once the smallest parent counts. An empty table gives no rows; other columns are ignored.
-    - ``n_descendants`` of a member of a cycle counts only what hangs below it off the cycle. Without ``paths`` it is
-      null in components above ``co_locate``.
+    - ``n_descendants`` of a member of a cycle counts only what hangs below it off the cycle.
     - A root has depth 0 and is its own root. Nodes on a cycle, and below one, have depth -1 and as root the smallest
       id of that cycle. ``path`` leads from the root (or the cycle's member) down to the node.
     - Components of up to ``co_locate`` nodes are walked depth first in one task each; larger ones by pointer doubling.

@@ -88,3 +88,16 @@ def test_components_are_those_of_union_find(spark, monkeypatch, seed, finish):
 
 def test_no_edges(spark):
     assert graph.connected_components(spark.createDataFrame([], "src bigint, dst bigint")).count() == 0
+
+
+@pytest.mark.parametrize("co_locate", [50_000, 3])
+def test_descendants_are_counted_at_every_size(spark, co_locate):
+    r = random.Random(5)
+    parents = {i: None if i == 0 else r.randrange(max(0, i - 4), i) for i in range(150)} | {200 + i: 200 + (i + 1) % 5 for i in range(5)} | {300: 203, 301: 300, 302: 300}
+    ring, want = set(range(200, 205)), dict.fromkeys(parents, 0)
+    for n in parents:
+        x = n
+        while x not in ring and (x := parents[x]) is not None:
+            want[x] += 1
+    got = graph.hierarchy(rows(spark, parents), co_locate=co_locate)
+    assert {r["id"]: r["n_descendants"] for r in got.collect()} == want
