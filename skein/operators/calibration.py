@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from math import log
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,10 +55,15 @@ def fit_isotonic(rows: DataFrame, score: str, target: str):
 
 
 def calibrate(rows: DataFrame, model, score: str, out: str = "calibrated") -> DataFrame:
-    """Adds the calibrated score, by interpolation between the model's boundaries; null stays null."""
-    xs, ys = [float(v) for v in model.boundaries], [float(v) for v in model.predictions]
-    x, got = F.col(score).cast("double"), F.lit(ys[-1])
-    for (x0, y0), (x1, y1) in reversed(list(zip(list(zip(xs, ys)), list(zip(xs, ys))[1:], strict=False))):
-        at = F.lit(y0) if x1 == x0 else F.lit(y0) + (x - x0) * ((y1 - y0) / (x1 - x0))
-        got = F.when(x < x1, at).otherwise(got)
-    return rows.withColumn(out, F.when(x.isNull(), None).when(x <= xs[0], F.lit(ys[0])).otherwise(got))
+    """Adds the calibrated score, by interpolation between the model's boundaries; null stays null.
+
+    The boundaries, two numbers each, go along as arrays: the plan is the same however many there are.
+    """
+    xs, ys = (np.array([float(v) for v in values]) for values in (model.boundaries, model.predictions))
+    shared = rows.sparkSession.sparkContext.broadcast((xs, ys))
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series) -> pd.Series:
+        return pd.Series(np.interp(x, *shared.value), index=x.index).where(x.notna())
+
+    return rows.withColumn(out, run(F.col(score).cast("double")))
