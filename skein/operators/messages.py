@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
+from skein.functions.ids import author_key, clean_id
 
 
 def cast_messages(raw: DataFrame) -> DataFrame:
@@ -23,18 +24,19 @@ def cast_messages(raw: DataFrame) -> DataFrame:
 def brand_report(rows: DataFrame, known: DataFrame) -> DataFrame:
     """(handle, outbound_count, mention_count, in_known_list) of all who write outbound or are mentioned inbound.
 
-    Rows with a null ``inbound`` count for neither. ``known`` has the column ``handle``, lower-cased.
+    Handles count in one spelling (:func:`skein.functions.ids.author_key`). Rows with a null ``inbound`` count for neither.
+    ``known`` has the column ``handle``.
     """
-    out = rows.where("inbound = false and author_id is not null").groupBy(F.lower("author_id").alias("handle")).agg(F.count("*").alias("outbound_count"))
+    out = rows.where("inbound = false and author_id is not null").groupBy(author_key(F.col("author_id")).alias("handle")).agg(F.count("*").alias("outbound_count"))
     named = rows.where("inbound").select(F.explode(T.mentions(F.col("text"))).alias("handle")).groupBy("handle").agg(F.count("*").alias("mention_count"))
     both = out.join(named, "handle", "full_outer").na.fill(0, ["outbound_count", "mention_count"])
-    listed = known.select("handle", F.lit(True).alias("in_known_list")).distinct()
+    listed = known.select(author_key(F.col("handle")).alias("handle"), F.lit(True).alias("in_known_list")).distinct()
     return both.join(listed, "handle", "left").na.fill(False, ["in_known_list"])
 
 
 def replied_to(rows: DataFrame, handle: str) -> DataFrame:
-    """Inbound messages that a handle replied to."""
-    answers = rows.where(F.lower("author_id") == handle.lower()).select(F.col("in_response_to_tweet_id").alias("tweet_id"))
+    """Inbound messages that a handle, however spelled, replied to; links count after cleaning."""
+    answers = rows.where(author_key(F.col("author_id")) == handle.lower()).select(clean_id(F.col("in_response_to_tweet_id")).alias("tweet_id"))
     return rows.where("inbound").join(answers, "tweet_id", "left_semi")
 
 
@@ -99,7 +101,7 @@ def greedy_copies(texts: DataFrame, threshold: float = 0.95) -> DataFrame:
 
 def hygiene(rows: DataFrame, handle: str) -> DataFrame:
     """A handle's replies with a column ``dropped``: dm_redirect, link_or_blank, near_copy, or null for those kept."""
-    own = rows.where(F.lower("author_id") == handle.lower()).withColumn("norm", F.coalesce(T.strip_leading_mentions(F.col("text")), F.lit("")))
+    own = rows.where(author_key(F.col("author_id")) == handle.lower()).withColumn("norm", F.coalesce(T.strip_leading_mentions(F.col("text")), F.lit("")))
     first = F.when(T.is_dm_redirect(F.col("text")), "dm_redirect").when(T.is_link_or_blank(F.col("text")), "link_or_blank")
     own = own.withColumn("dropped", first)
     copies = greedy_copies(own.where("dropped is null").select(F.col("norm").alias("text"))).select(F.col("text").alias("norm"), F.lit(True).alias("copy"))

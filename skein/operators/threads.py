@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
-from skein.functions.ids import as_key, clean_id, clean_ids
+from skein.functions.ids import as_key, author_key, clean_id, clean_ids
 from skein.operators.graph import connected_components
 
 
@@ -28,7 +28,7 @@ def build_threads(rows: DataFrame, handle: str) -> DataFrame:
     """
     once = rows.groupBy(as_key(F.col("tweet_id")).alias("id")).agg(*(F.min(c).alias(c) for c in ("author_id", "inbound", "created_at", "text")))
     named = once.join(thread_ids(rows), "id", "left").withColumn("thread_id", F.coalesce("thread_id", "id"))
-    brand = F.coalesce(F.lower("author_id") == handle.lower(), F.lit(False))
+    brand = F.coalesce(author_key(F.col("author_id")) == handle.lower(), F.lit(False))
     customer = F.coalesce("inbound", F.lit(False))
     moved = T.is_dm_redirect(F.col("text"))
     ours = named.where(brand).select("thread_id").distinct()

@@ -33,7 +33,7 @@ _CLEAN = r"nullif(regexp_extract({0}, '^[\s\x{{a0}}]*(\d+)(?:\.0*)?[\s\x{{a0}}]*
 
 _REPORT = f"""select coalesce(o.handle, m.handle) handle, coalesce(outbound_count, 0) outbound_count, coalesce(mention_count, 0) mention_count,
   coalesce(o.handle, m.handle) in (select handle from brand_config where in_known_list) in_known_list
-  from (select lower(author_id) handle, count(*) outbound_count from twcs where inbound = false and author_id is not null group by 1) o
+  from (select {_AUTHOR} handle, count(*) outbound_count from twcs where inbound = false and author_id is not null group by 1) o
   full join (select h handle, count(*) mention_count from (select unnest({_mentions('text')}) h from twcs where inbound) group by 1) m on o.handle = m.handle"""
 
 _THREADS = f"""with recursive once as (select tweet_id id, min(author_id) author, min(inbound) inbound, min(created_at) at_, min(text) text from twcs group by 1),
@@ -42,7 +42,7 @@ refs as (select tweet_id a, {_CLEAN.format('in_response_to_tweet_id')} b from tw
 pairs as (select a, b from refs where b is not null union select b, a from refs where b is not null),
 reach as (select a id, a low from pairs union select p.b, r.low from reach r join pairs p on p.a = r.id where r.low < p.b),
 comp as (select id, min(low) t from reach group by 1),
-named as (select o.*, coalesce(comp.t, o.id) t, coalesce(lower(author) = '{_BRAND}', false) brand, coalesce(inbound, false) customer, {_redirect('text')} moved
+named as (select o.*, coalesce(comp.t, o.id) t, coalesce(lower(regexp_replace(trim(author), '^@+', '')) = '{_BRAND}', false) brand, coalesce(inbound, false) customer, {_redirect('text')} moved
   from once o left join comp using (id)),
 threads as (select t thread_id, count(*) tweet_count, count(*) filter (where customer) customer_turn_count, count(*) filter (where brand and not moved) brand_turn_count,
   bool_or(brand and moved) channel_switch,
@@ -121,7 +121,7 @@ SQL = {
   case n % 3 when 1 then 't1,' || name else '' end cited from n""",
     "brand_report": _REPORT,
     "top_brands": f"select * from ({_REPORT}) order by outbound_count desc, handle limit 10",
-    "time_split": f"""with r as (select created_at from twcs where inbound and tweet_id in (select in_response_to_tweet_id from twcs where lower(author_id) = '{_BRAND}'))
+    "time_split": f"""with r as (select created_at from twcs where inbound and tweet_id in (select {_CLEAN.format('in_response_to_tweet_id')} from twcs where {_AUTHOR} = '{_BRAND}'))
   select count(*) filter (where created_at < timestamptz '2017-11-15 00:00:00+00') train, count(*) filter (where created_at >= timestamptz '2017-11-15 00:00:00+00') test from r""",
     "handles_by_use": f"""with authors as (select distinct {_AUTHOR} handle from twcs where author_id is not null),
   every as (select handle from authors union select handle from brand_config union select unnest({_mentions('text')}) from twcs)
