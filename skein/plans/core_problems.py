@@ -49,7 +49,9 @@ def _author_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return skew.heavy_keys(_author_lengths(spark, sf_dir), 0.01).where("author is not null").select("author")
+    # How many rows a key has is told by its first counts: no quantile is asked, so no histogram is refined.
+    rows = table(spark, sf_dir, "twcs").select(author_key(F.col("author_id")).alias("author"))
+    return skew.heavy_keys(skew.key_counts(rows, "author"), 0.01).where("author is not null").select("author")
 
 
 def p6_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,21 +64,21 @@ def p6_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skew.key_quantiles(rows, "author", "at", (0.5,)).select("author", "n", F.try_element_at("quantiles", F.lit(1)).alias("median_micros"))
 
 
-def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _references(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     twcs, late, deleted = (table(spark, sf_dir, t) for t in ("twcs", "twcs_late", "deleted_tweets"))
     fields = {"in_response_to_tweet_id": "up", "response_tweet_id": "down"}
     refs = orphans.references(twcs, "twcs", fields, "tweet_id", "created_at").unionByName(orphans.references(late, "twcs_late", fields, "tweet_id", "created_at"))
     ref = F.col("tweet_id").alias("ref_id")
-    return orphans.cascade(refs, twcs.select(ref), late.select(ref), deleted.select(ref))
+    return refs, twcs.select(ref), late.select(ref), deleted.select(ref)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = _orphans(spark, sf_dir).where("level = 0")
+    got = orphans.direct(*_references(spark, sf_dir))  # where the cascade starts; inherited orphans are in p7_report
     return got.select("src_table", F.col("id").alias("tweet_id"), "field", "ref_id", "status")
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orphans.orphan_report(_orphans(spark, sf_dir))
+    return orphans.orphan_report(orphans.cascade(*_references(spark, sf_dir)))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p2_cycles, p6_found, p6_lengths, p6_times, p7_found, p7_report)}
@@ -95,6 +97,13 @@ climb as (select id start, id spot, 0 n from parents where id not in (select id
 rings as (select start, bool_or(spot = start and n > 0) own from climb group by 1),
 far as (select start, min(spot) root from climb where n >= 100 group by 1),
 ringed as (select far.start id, far.root, rings.own on_cycle from far join rings using (start))"""
+_PATHS = f"""{_TREE},
+hang as (select id, root, id path from ringed where on_cycle
+  union all select p.id, h.root, h.path || '/' || p.id from hang h join parents p on p.parent = h.id where p.id not in (select id from ringed where on_cycle)),
+paths as (select id, root, cast(depth as integer) depth, path, false on_cycle from down union all select h.id, h.root, -1, path, on_cycle from hang h join ringed using (id)),
+above as (select id, list_reverse(string_split(path, '/')) up from paths),
+pairs as (select id descendant, unnest(up[2:]) ancestor, unnest(range(1, len(up))) distance from above),
+below as (select ancestor id, count(*) n from pairs group by 1)"""
 _AUTHOR = "lower(regexp_replace(trim(author_id), '^@+', ''))"
 
 
@@ -105,14 +114,29 @@ def _quantile(p: float, value: str) -> str:
 _REFS = " union ".join(
     f"select '{t}' src_table, tweet_id, '{c}' field, {_CLEAN.format('part')} ref_id from ({_EACH.format(c, t)})" for t in ("twcs", "twcs_late") for c in ("in_response_to_tweet_id", "response_tweet_id")
 )
+_DATED = " union all ".join(
+    f"select '{t}' src_table, tweet_id, '{c}' field, {_CLEAN.format('part')} ref_id, strftime(created_at, '%Y-%m') period from (select tweet_id, created_at, unnest(string_split(coalesce({c}, ''), ',')) part from {t})"
+    for t in ("twcs", "twcs_late") for c in ("in_response_to_tweet_id", "response_tweet_id")
+)
 _STATUS = """case when r.ref_id in (select tweet_id from twcs_late) then 'late'
   when r.ref_id in (select tweet_id from deleted_tweets) then 'deleted' else 'missing' end"""
 
 SQL = {
     "p2_found": f"{_TREE} select id tweet_id, root root_id, cast(depth as integer) depth from down union all select id, root, -1 from ringed",
     "p2_cycles": f"{_TREE} select root cycle_id, id tweet_id from ringed where on_cycle",
+    "p2_paths": f"""{_PATHS} select id tweet_id, path, depth, root root_id, coalesce(n, 0) n_descendants, on_cycle from paths left join below using (id)""",
+    "p2_descendants": f"{_PATHS} select ancestor ancestor_id, descendant descendant_id, cast(distance as integer) distance from pairs",
     "p6_found": f"select {_AUTHOR} author from twcs where author_id is not null group by 1 having count(*) >= 0.01 * (select count(*) from twcs)",
     "p6_lengths": f"select {_AUTHOR} author, count(*) n, count(text) n_values, " + ", ".join(f"cast({_quantile(p, 'length(text)')} as bigint) p{round(100 * p)}" for p in PROBS) + " from twcs group by 1",
     "p6_times": f"select {_AUTHOR} author, count(*) n, {_quantile(0.5, 'epoch_us(created_at)')} median_micros from twcs group by 1",
+    "p7_report": f"""with recursive dated as ({_DATED}), refs as (select src_table, tweet_id, field, ref_id, min(period) period from dated where ref_id is not null group by all),
+  direct as (select r.*, {_STATUS} status from refs r where r.ref_id not in (select tweet_id from twcs)),
+  up as (select * from refs where field = 'in_response_to_tweet_id'),
+  reach as (select distinct tweet_id id, 0 far, status from direct where field = 'in_response_to_tweet_id'
+    union select u.tweet_id, far + 1, status from reach join up u on u.ref_id = reach.id where far < 200),
+  near as (select id, min(far) far from reach group by 1), cause as (select id, min(status) status from reach join near using (id, far) group by 1),
+  every as (select src_table, field, period, status, true own from direct
+    union all select src_table, field, period, cause.status, false from up join cause on cause.id = up.ref_id)
+  select src_table, field, period, status, count(*) filter (where own) direct, count(*) filter (where not own) inherited from every group by 1, 2, 3, 4""",
     "p7_found": f"with refs as ({_REFS}) select r.*, {_STATUS} status from refs r where r.ref_id is not null and r.ref_id not in (select tweet_id from twcs)",
 }

@@ -173,3 +173,31 @@ def test_copies_of_very_long_texts_are_dropped(spark):
     long = "a" * 40_000
     texts = spark.createDataFrame([(f"{long} one",), (f"{long} two",)], "text string")
     assert [r["text"] for r in greedy_copies(texts).collect()] == [f"{long} two"]
+
+
+def test_handles_and_links_count_in_their_clean_forms(spark):
+    schema = "tweet_id string, author_id string, inbound boolean, created_at timestamp, text string, in_response_to_tweet_id string"
+    rows = spark.createDataFrame([
+        ("1000000001", "55", True, None, "@Shop hi", None), ("1000000002", "@Shop", False, None, "hello", "1000000001.0"),
+        ("1000000003", "66", True, None, "hey", "nan"), ("1000000004", " SHOP ", False, None, "yes", " 1000000003 "), ("1000000005", None, None, None, None, None),
+    ], schema)
+    assert {r["tweet_id"] for r in messages.replied_to(rows, "shop").collect()} == {"1000000001", "1000000003"}
+    got = messages.brand_report(rows, spark.createDataFrame([("Shop",)], "handle string")).collect()
+    assert [tuple(r) for r in got] == [("shop", 2, 1, True)]
+
+
+def test_calibration_takes_any_number_of_boundaries(spark):
+    class Fitted:
+        boundaries, predictions = [i / 5000 for i in range(5001)], [i / 10000 for i in range(5001)]
+
+    rows = spark.createDataFrame([(-1.0,), (0.5,), (2.0,), (None,)], "s double")
+    assert [None if r[0] is None else round(r[0], 6) for r in calibration.calibrate(rows, Fitted, "s").select("calibrated").collect()] == [0.0, 0.25, 0.5, None]
+
+
+def test_registry_without_the_text_problems(monkeypatch):
+    import sys
+
+    import __spark_entry__ as entry
+
+    monkeypatch.setitem(sys.modules, "skein.llm", None)
+    assert "p2_found" in entry.queries() and "p1_found" not in entry.queries()
