@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,6 +80,23 @@ def unfence(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(c), r"^```(?:json)?\s*|\s*```$", ""))
 
 
+def json_array(c: Column) -> Column:
+    """The JSON array in a model's reply: from its first ``[`` to its last ``]``, without a code fence; all of it if there is none."""
+    bare = unfence(c)
+    return F.coalesce(F.nullif(F.regexp_extract(bare, r"(?s)\[.*\]", 0), F.lit("")), bare)
+
+
+def fill(template: str, **values: Column) -> Column:
+    """A text with its ``{name}`` places filled; doubled braces stand for themselves, null values for nothing."""
+    parts = [p for text, name, _, _ in Formatter().parse(template) for p in ([F.lit(text)] if text else []) + ([F.coalesce(values[name].cast("string"), F.lit(""))] if name is not None else [])]
+    return F.concat(*parts) if parts else F.lit("")
+
+
+def iso_time(c: Column) -> Column:
+    """A time written in ISO 8601, UTC if it names no zone; null for ``NaT``, blanks and anything else."""
+    return F.trim(c).try_cast("timestamp")
+
+
 def lenient_json(c: Column, field: str, pattern: str, default: Column) -> Column:
     """A field of a JSON reply; where the reply is malformed what the pattern finds, else the default."""
     bare = unfence(c)
@@ -91,6 +110,12 @@ def cache_key(provider: Column, model: Column, prompt: Column) -> Column:
     return F.sha2(body, 256)
 
 
+def call_key(provider: Column, model: Column, messages: Column, params: Column) -> Column:
+    """SHA-256 of a call's canonical JSON, keys in order: any messages (array of structs content, role) and parameters (a map)."""
+    body = F.struct(messages.alias("messages"), model.alias("model"), F.map_from_entries(F.array_sort(F.map_entries(params))).alias("params"), provider.alias("provider"))
+    return F.sha2(F.to_json(body), 256)
+
+
 def round_to(c: Column, digits: int) -> Column:
     """Rounded by arithmetic on doubles, so that every engine gives the same."""
     return F.floor(c * 10.0**digits + 0.5) / 10.0**digits

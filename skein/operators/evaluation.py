@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from math import exp, lgamma, log
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions.text import draw
+from skein.operators.sampling import interval, resample
+
 
 def share(c):
     return F.avg(c.cast("double"))
@@ -128,10 +131,12 @@ def rounded_vote(c):
 
 
 def alternative_annotator(ratings: DataFrame, judge: DataFrame, item: str = "item", rater: str = "rater", score: str = "score") -> DataFrame:
-    """One row (judge_agreement, human_agreement, verdict): may a judge stand in for a human rater?
+    """One row (judge_agreement, human_agreement, verdict, judge_kappa, human_kappa, n_items, n_raters): may a judge stand in
+    for a human rater?
 
     Each human is compared with the rounded vote of the others, the judge with that of all; YES if the judge agrees at
-    most 0.05 less often. An item's ratings are few; the others' vote follows from the item's sum.
+    most 0.05 less often. The kappas, with quadratic weights, are those of the same comparisons, the humans' the mean over
+    them. An item's ratings are few; the others' vote follows from the item's sum.
     """
     total = F.sum(score).over(Window.partitionBy(item))
     n = F.count("*").over(Window.partitionBy(item))
@@ -139,6 +144,61 @@ def alternative_annotator(ratings: DataFrame, judge: DataFrame, item: str = "ite
     loo = ratings.withColumn("n", n).withColumn("others", F.when(n > 1, others)).where("others is not null")
     human = loo.groupBy(rater).agg(share(F.col(score) == F.col("others")).alias("a")).agg(F.avg("a").alias("human_agreement"))
     votes = ratings.groupBy(item).agg(rounded_vote(F.col(score)).alias("vote"))
-    agreed = judge.join(votes, item).agg(share(F.col(score) == F.col("vote")).alias("judge_agreement"))
+    judged = judge.join(votes, item)
+    agreed = judged.agg(share(F.col(score) == F.col("vote")).alias("judge_agreement"), F.count("*").alias("n_items"))
+    kappas = kappa(judged, score, "vote").select(F.col("kappa").alias("judge_kappa"))
+    folds = kappa(loo.select(F.col(rater).alias("fold"), F.col(score).alias("own"), "others"), "own", "others", by=["fold"])
+    folds = folds.agg(F.avg("kappa").alias("human_kappa"), F.count("*").alias("n_raters"))
     verdict = F.when(F.col("judge_agreement") >= F.col("human_agreement") - 0.05, "YES").otherwise("NO")
-    return agreed.join(F.broadcast(human)).select("judge_agreement", "human_agreement", verdict.alias("verdict"))
+    for one in (human, kappas, folds):  # one row each
+        agreed = agreed.join(F.broadcast(one))
+    return agreed.select("judge_agreement", "human_agreement", verdict.alias("verdict"), "judge_kappa", "human_kappa", "n_items", "n_raters")
+
+
+def mean_rater_kappa(ratings: DataFrame, item: str, rater: str, score: str) -> DataFrame:
+    """One row (kappa, pairs): the mean kappa over the pairs of raters, 1 if there are fewer than two raters."""
+    return rater_pairs(ratings, item, rater, score).agg(F.coalesce(F.avg("kappa"), F.lit(1.0)).alias("kappa"), F.count("*").alias("pairs"))
+
+
+def win_rate(ratings: DataFrame, item: str, rater: str, score: str, a: str, b: str) -> DataFrame:
+    """One row (win_rate, n): how often rater or system ``a`` scores higher than ``b`` on the items both have."""
+    one, two = (ratings.where(F.col(rater) == x).select(F.col(item).alias("item"), F.col(score).alias(side)) for x, side in ((a, "a"), (b, "b")))
+    return one.join(two, "item").agg(share(F.col("a") > F.col("b")).alias("win_rate"), F.count("*").alias("n"))
+
+
+def baselines(rows: DataFrame, key: str, gold: str, flag: Column, seed: int = 7) -> DataFrame:
+    """The rows once per trivial system, with ``system``, ``pred`` and ``flagged``.
+
+    ``random`` draws one of the gold labels by a hash of the key and flags every row; ``majority`` takes the most frequent
+    label (ties to the first) and flags by ``flag``. The labels are a taxonomy's worth and go along as one array.
+    """
+    counts = rows.where(F.col(gold).isNotNull()).groupBy(F.col(gold).alias("label")).agg(F.count("*").alias("n"))
+    listed = counts.agg(F.array_sort(F.collect_list("label")).alias("labels"), F.min_by("label", F.struct(-F.col("n"), "label")).alias("top"))
+    both = rows.join(F.broadcast(listed))
+    drawn = F.try_element_at("labels", (draw(seed, F.col(key)) % F.size("labels") + 1).cast("int"))
+    systems = F.array(F.struct(F.lit("random").alias("system"), drawn.alias("pred"), F.lit(True).alias("flagged")), F.struct(F.lit("majority").alias("system"), F.col("top").alias("pred"), F.coalesce(flag, F.lit(False)).alias("flagged")))
+    return both.withColumn("s", F.explode(systems)).select(*rows.columns, "s.*")
+
+
+def record(rows: DataFrame, system: str, key: str, gold: str, pred: str, gold_flag: str, flag: str, resamples: int = 2_000) -> DataFrame:
+    """One row per system: accuracy with its interval and macro F1 of the labels, and the scores of the flags.
+
+    (system, n, accuracy, lower, upper, macro_f1, flag_accuracy, precision, recall, flag_f1, over_rate). The systems are few,
+    so each is evaluated by the operators above.
+    """
+    out = None
+    for name in [r[0] for r in rows.select(system).distinct().orderBy(system).collect()]:  # the systems compared: a handful
+        own = rows.where(F.col(system) == name)
+        hits = own.where(F.col(gold).isNotNull() & F.col(pred).isNotNull()).groupBy(key).agg(F.max((F.col(gold) == F.col(pred)).cast("double")).alias("hit"))
+        parts = [
+            accuracy(own, gold, pred).select("n", "accuracy"),
+            interval(resample(hits, key, "hit", resamples), stat="stat"),
+            per_label(own, gold, pred).agg(F.avg("f1").alias("macro_f1")),
+            binary_scores(own, gold_flag, flag).select(F.col("accuracy").alias("flag_accuracy"), "precision", "recall", F.col("f1").alias("flag_f1"), "over_rate"),
+        ]
+        row = parts[0]
+        for p in parts[1:]:
+            row = row.join(F.broadcast(p))  # one row each
+        row = row.select(F.lit(name).alias("system"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out

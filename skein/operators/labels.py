@@ -30,13 +30,14 @@ def nearest(rows: DataFrame, cents: DataFrame, key: str = "vec_id", vector: str
     return ranked.select(key, F.col("s")[0]["label"].alias("label"), F.col("s")[0]["sim"].alias("conf"), (F.col("s")[0]["sim"] - F.coalesce(F.try_element_at("s", F.lit(2))["sim"], F.lit(0.0))).alias("margin"))
 
 
-def kmeans(rows: DataFrame, k: int, seed: int = 42, vector: str = "embedding") -> DataFrame:
-    """Adds ``cluster``: Spark ML's k-means (k-means|| start)."""
+def kmeans(rows: DataFrame, k: int, seed: int = 42, vector: str = "embedding", starts: int = 1) -> DataFrame:
+    """Adds ``cluster``: Spark ML's k-means (k-means|| start), the best of several starts by its cost."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     ready = rows.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(ready)
+    models = [KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster").fit(ready) for i in range(starts)]
+    model = min(models, key=lambda m: m.summary.trainingCost)
     return model.transform(ready).drop("features")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 from skein.functions import text as T
 from skein.functions.ids import author_key, clean_id
 from skein.functions.vectors import dot, unit
-from skein.operators import calibration, evaluation, labels, messages, retrieval, routing, sampling, services, threads
+from skein.operators import agent, calibration, evaluation, labels, messages, retrieval, routing, sampling, services, threads
 from skein.plans.reference_sql import SQL
 from skein.session import scratch, table
 from skein.sources import files
@@ -63,6 +66,29 @@ def intent_report(spark: SparkSession, sf: str) -> DataFrame:
     return files.markdown_table(counts, ["intent", "n"], [F.col("intent")])
 
 
+@query
+def golden_csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    rows, path = table(spark, sf, "golden_set"), scratch(spark, "golden")
+    files.write_csv(rows, path)
+    back = files.read_csv(spark, path, rows.schema)
+    return back.withColumn("asked_at", F.unix_micros(T.iso_time(F.col("first_customer_created_at")))).drop("first_customer_created_at")
+
+
+@query
+def calibration_record(spark: SparkSession, sf: str) -> DataFrame:
+    rows, alpha, delta, path = _calibration_rows(spark, sf), 0.4, 0.05, scratch(spark, "calibration")
+    tau = calibration.conformal_tau(rows, "score", "error", "thread_id", alpha=alpha, delta=delta).select("tau")
+    one = calibration.calibration_error(rows, "score", "correct").join(F.broadcast(tau)).select("tau", F.round("ece", 6).alias("ece"), F.lit(alpha).alias("alpha"), F.lit(delta).alias("delta"), "n")
+    files.write_json_lines(one, path)
+    return files.read_json_lines(spark, path, one.schema)
+
+
+@query
+def full_report(spark: SparkSession, sf: str) -> DataFrame:
+    strata = table(spark, sf, "golden_set").groupBy(F.lower(F.trim("difficulty")).alias("difficulty")).agg(F.count("*").alias("n"))
+    return files.report("Report", [("Intents", intent_report(spark, sf)), ("Difficulty", files.markdown_table(strata, ["difficulty", "n"], [F.col("difficulty")]))])
+
+
 @query
 def label_choices(spark: SparkSession, sf: str) -> DataFrame:
     return files.choices_xml(table(spark, sf, "taxonomy"))
@@ -212,7 +238,7 @@ def vector_norms(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def kmeans_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    return labels.kmeans(table(spark, sf, "embeddings"), 10).groupBy("cluster", "label").agg(F.count("*").alias("n"))
+    return labels.kmeans(table(spark, sf, "embeddings"), 10, starts=10).groupBy("cluster", "label").agg(F.count("*").alias("n"))
 
 
 @query
@@ -259,7 +285,7 @@ def isotonic_scores(spark: SparkSession, sf: str) -> DataFrame:
 def _intent_scores(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "taxonomy").select("name", F.concat_ws(" ", "description", "exemplars").alias("body"))
     asked = table(spark, sf, "labelled").groupBy("thread_id").agg(F.min("first_customer_message").alias("message"))
-    return retrieval.bm25(retrieval.index(docs, "name", "body"), retrieval.corpus_size(docs, "body"), asked, "thread_id", "message")
+    return retrieval.bm25(docs, "name", "body", asked, "thread_id", "message")
 
 
 @query
@@ -270,25 +296,55 @@ def bm25_intents(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def bm25_documents(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    scores = retrieval.bm25(retrieval.index(docs, "doc_id", "text"), retrieval.corpus_size(docs, "text"), table(spark, sf, "taxonomy"), "name", "description")
+    scores = retrieval.bm25(docs, "doc_id", "text", table(spark, sf, "taxonomy"), "name", "description")
     return retrieval.ranked(retrieval.normalised(scores), 20).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+def _hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    """(query_id, doc_id, score): lexical and dense ranks of every intent, fused; the dense vectors are a stand-in's."""
+    asked = table(spark, sf, "labelled").groupBy(F.col("thread_id").alias("query_id")).agg(F.min("first_customer_message").alias("m"))
+    intents = table(spark, sf, "taxonomy").select(F.col("name").alias("doc_id"), F.concat_ws(" ", "description", "exemplars").alias("m"))
+    lexical = retrieval.with_zeros(_intent_scores(spark, sf), asked, intents)
+    asked, intents = (retrieval.hashed_terms(x, "m").select(k, "vector") for x, k in ((asked, "query_id"), (intents, "doc_id")))
+    dense = retrieval.every_pair(asked, intents, dot)
+    return retrieval.fuse([(retrieval.ranked(lexical), 0.4), (retrieval.ranked(dense), 0.6)])
+
+
 @query
 def fused_intents(spark: SparkSession, sf: str) -> DataFrame:
-    lexical = retrieval.ranked(_intent_scores(spark, sf))
-    words = table(spark, sf, "taxonomy").select(F.col("name").alias("doc_id"), F.explode(F.array_distinct(T.tokens(F.concat_ws(" ", "description", "exemplars")))).alias("term"))
-    asked = table(spark, sf, "labelled").groupBy("thread_id").agg(F.min("first_customer_message").alias("m"))
-    shared = asked.select(F.col("thread_id").alias("query_id"), F.explode(F.array_distinct(T.tokens(F.col("m")))).alias("term")).join(words, "term")
-    overlap = retrieval.ranked(shared.groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score")))
-    fused = retrieval.fuse([(lexical, 0.4), (overlap, 0.6)])
-    return retrieval.ranked(fused, 5).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return retrieval.ranked(_hybrid(spark, sf), 5).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query
+def fused_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    got = retrieval.rank_metrics(retrieval.ranked(_hybrid(spark, sf)), _wanted_intents(spark, sf))
+    return got.select(*(F.round(c, 6).alias(c) for c in ("mrr", "recall", "ndcg")), "n")
+
+
+@query
+def reranked_intents(spark: SparkSession, sf: str) -> DataFrame:
+    first = retrieval.ranked(_hybrid(spark, sf), 20)
+    asked = table(spark, sf, "labelled").groupBy(F.col("thread_id").alias("query_id")).agg(F.min("first_customer_message").alias("query"))
+    intents = table(spark, sf, "taxonomy").select(F.col("name").alias("doc_id"), F.col("description").alias("text"))
+    rows = first.select("query_id", "doc_id").join(asked.where("query is not null"), "query_id").join(F.broadcast(intents), "doc_id")
+    return retrieval.rerank(rows, retrieval.word_overlap).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query
+def dense_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings")
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    got = retrieval.dense_top(asked, rows.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), 20)
+    return got.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+def _wanted_intents(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "labelled").where("knn_label is not null").groupBy(F.col("thread_id").alias("query_id")).agg(F.min("knn_label").alias("doc_id"))
 
 
 @query
 def retrieval_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    gold = table(spark, sf, "labelled").where("knn_label is not null").groupBy(F.col("thread_id").alias("query_id")).agg(F.min("knn_label").alias("doc_id"))
-    got = retrieval.rank_metrics(retrieval.ranked(_intent_scores(spark, sf)), gold)
+    got = retrieval.rank_metrics(retrieval.ranked(_intent_scores(spark, sf)), _wanted_intents(spark, sf))
     return got.select(*(F.round(c, 6).alias(c) for c in ("mrr", "recall", "ndcg")), "n")
 
 
@@ -332,6 +388,13 @@ def golden_strata(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.strata(rows, "thread_id", wanted).select("thread_id", "stratum")
 
 
+@query
+def golden_set_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "labelled").groupBy("thread_id").agg(F.min(F.coalesce("calibrated_conf", F.lit(1.0))).alias("conf"), F.max("tweet_count").alias("tweets"), F.min("first_customer_message").alias("message"))
+    wanted = [("low_confidence", None, F.col("conf"), 60), ("long", F.col("tweets") >= 4, None, 40), ("short", F.length("message") < 20, None, 20)]
+    return sampling.golden_set(rows, "thread_id", wanted).select("thread_id", "stratum", "double_annotate", "place")
+
+
 @query
 def numbered_batches(spark: SparkSession, sf: str) -> DataFrame:
     rows = sampling.sample(table(spark, sf, "golden_set").select("thread_id").distinct(), "thread_id", 100)
@@ -371,7 +434,7 @@ def escalation_scores(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def accuracy_interval(spark: SparkSession, sf: str) -> DataFrame:
     rows = _golden(spark, sf).groupBy("thread_id").agg(F.max((F.col("correct_intent") == F.col("predicted_intent")).cast("double")).alias("hit"))
-    return sampling.interval(sampling.resample_means(rows, "thread_id", "hit", 200)).select(F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"))
+    return sampling.interval(sampling.resample_means(rows, "thread_id", "hit", 2_000)).select(F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"))
 
 
 @query
@@ -403,7 +466,34 @@ def jury_median(spark: SparkSession, sf: str) -> DataFrame:
 def judge_as_annotator(spark: SparkSession, sf: str) -> DataFrame:
     rows = _ratings(spark, sf)
     got = evaluation.alternative_annotator(rows.where("rater <> 'c'"), rows.where("rater = 'c'").select("item", "score"))
-    return got.select(F.round("judge_agreement", 6).alias("judge_agreement"), F.round("human_agreement", 6).alias("human_agreement"), "verdict")
+    rounded = [F.round(c, 6).alias(c) for c in ("judge_agreement", "human_agreement", "judge_kappa", "human_kappa")]
+    return got.select(*rounded, "verdict", "n_items", "n_raters")
+
+
+@query
+def mean_rater_kappa(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.mean_rater_kappa(_ratings(spark, sf), "item", "rater", "score").withColumn("kappa", F.round("kappa", 6))
+
+
+@query
+def win_rate(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.win_rate(_ratings(spark, sf), "item", "rater", "score", "a", "b").withColumn("win_rate", F.round("win_rate", 6))
+
+
+@query
+def evaluation_record(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _golden(spark, sf).where("correct_intent is not null").select("thread_id", "first_customer_message", "correct_intent", "predicted_intent", "should_escalate", "escalated")
+    agent = rows.select("*", F.lit("agent").alias("system"), F.col("predicted_intent").alias("pred"), F.col("escalated").alias("flagged"))
+    every = agent.unionByName(evaluation.baselines(rows, "thread_id", "correct_intent", routing.rail(F.col("first_customer_message")).isNotNull()))
+    got = evaluation.record(every, "system", "thread_id", "correct_intent", "pred", "should_escalate", "flagged")
+    return got.select("system", "n", *(F.round(c, 6).alias(c) for c in got.columns if c not in ("system", "n")))
+
+
+@query
+def median_interval(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "labelled").groupBy("thread_id").agg(F.max("tweet_count").alias("tweets"))
+    got = sampling.resample(rows, "thread_id", "tweets", 200, sampling.weighted_median)
+    return sampling.interval(got, stat="stat")
 
 
 @query
@@ -474,3 +564,73 @@ def cache_misses(spark: SparkSession, sf: str) -> DataFrame:
 def stub_answers(spark: SparkSession, sf: str) -> DataFrame:
     prompts = services.keyed(table(spark, sf, "taxonomy").select(F.col("description").alias("prompt")), "local", "stub")
     return services.complete(prompts, [("stub", lambda p: p.upper())])
+
+
+@query
+def provider_chain(spark: SparkSession, sf: str) -> DataFrame:
+    def spent(_: str) -> str:
+        raise services.BudgetSpent("50 calls")
+
+    def late(p: str) -> str:
+        if len(p) % 2:
+            raise services.Busy("429")
+        return f"late {len(p)}"
+
+    prompts = services.keyed(table(spark, sf, "taxonomy").select(F.col("description").alias("prompt")), "local", "stub")
+    got = services.complete(prompts, [("spent", spent), ("late", late), ("last", lambda p: f"last {len(p)}")], wait=lambda s: None, errors=True)
+    return got.select("key", "response", "provider", F.array_join("errors", "; ").alias("errors"))
+
+
+@query
+def cached_answers(spark: SparkSession, sf: str) -> DataFrame:
+    prompts = services.keyed(table(spark, sf, "labelled").select(F.col("first_customer_message").alias("prompt")).where("prompt is not null"), "local", "stub")
+    cache = services.keyed(table(spark, sf, "golden_set").select(F.col("first_customer_message").alias("prompt")).where("prompt is not null").distinct(), "local", "stub")
+    got = services.answered(prompts, cache.select("key", F.lit("kept").alias("response"), F.lit("stub").alias("provider")), [("stub", lambda p: "new")])
+    return got.groupBy("response", "provider", "cached").agg(F.count("*").alias("n"))
+
+
+@query
+def cache_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return services.cache_stats(_calls(spark, sf))
+
+
+@query
+def ledger_of_first_day(spark: SparkSession, sf: str) -> DataFrame:
+    day = _calls(spark, sf).agg(F.date_format(F.min("ts"), "yyyy-MM-dd")).first()[0]
+    return services.ledger_of_day(call_ledger(spark, sf), day)
+
+
+@query
+def second_labeller(spark: SparkSession, sf: str) -> DataFrame:
+    names = [r[0] for r in table(spark, sf, "taxonomy").select("name").orderBy("name").collect()]  # a taxonomy
+
+    def call(prompt: str) -> str:
+        return "```json\n" + json.dumps([names[i % len(names)] for i in range(20)]) + "\n```"
+
+    rows = table(spark, sf, "labelled").groupBy("thread_id").agg(F.min("first_customer_message").alias("m"), F.min("knn_label").alias("first"))
+    got = services.second_labels(rows, "thread_id", "m", names, call).join(rows.select("thread_id", "first"), "thread_id")
+    return evaluation.accuracy(got, "first", "label").withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query
+def merged_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    def call(prompt: str) -> str:
+        found = sorted({int(line.split(":")[0].split()[1]) for line in prompt.splitlines() if line.startswith("cluster ")})
+        return "Here you are: " + json.dumps([{"name": f"intent_{m}", "source_clusters": [c for c in found if c % 4 == m]} for m in range(3)])
+
+    rows = table(spark, sf, "embeddings").select((F.col("vec_id") % 30).alias("cluster"), F.col("vec_id").cast("string").alias("text"))
+    return services.merge_clusters(labels.exemplars(rows, "cluster", "text", 3), "cluster", "text", call)
+
+
+@query
+def agent_answers(spark: SparkSession, sf: str) -> DataFrame:
+    def draft(prompt: str) -> str:
+        ids = re.findall(r"^\[\d+\] (\S+):", prompt, re.M)
+        return f"Thank you. CITATIONS: [{', '.join(ids)}]"
+
+    asked = table(spark, sf, "labelled").groupBy(F.col("thread_id").alias("query_id")).agg(F.min("first_customer_message").alias("m"), F.min("calibrated_conf").alias("conf"), F.min("knn_margin").alias("margin"))
+    found = agent.evidence(retrieval.ranked(_intent_scores(spark, sf), 5), table(spark, sf, "taxonomy").select(F.col("name").alias("doc_id"), F.col("description").alias("text")))
+    rows = asked.where("m is not null").join(found, "query_id", "left").na.fill({"found": 0, "evidence": ""})
+    r = routing.route(F.col("m"), F.col("conf"), F.col("found"), margin=F.coalesce("margin", F.lit(1.0)))
+    got = agent.respond(rows, "query_id", "m", r, draft)
+    return got.select("query_id", "action", "reason_code", "reply", F.array_join("citations", ",").alias("cited"))

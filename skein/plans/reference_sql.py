@@ -74,6 +74,23 @@ scores as (select query_id, tf.id doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5
 
 _INTENTS = _bm25("select name id, concat_ws(' ', description, array_to_string(exemplars, ' ')) body from taxonomy", "select thread_id id, min(first_customer_message) body from labelled group by 1")
 _RANK = "row_number() over (partition by query_id order by round(score, 9) desc, doc_id) - 1"
+_OVERLAP = "len(list_intersect(qw, dw)) / greatest(1, len(qw))"
+
+
+def _vector(source: str) -> str:
+    """The stand-in encoder's unit vectors of (id, body): words by 16 places."""
+    return f"""select id, list_transform(v, lambda x: x / coalesce(nullif(sqrt(list_sum(list_transform(v, lambda y: y * y))), 0), 1)) v
+  from (select id, list_transform(range(16), lambda i: len(list_filter(p, lambda x: x = i))::double) v
+  from (select id, list_transform({_tokens('body')}, lambda w: cast('0x' || substr(md5('0:' || w), 1, 8) as bigint) % 16) p from {source}))"""
+
+
+_HYBRID = f"""{_INTENTS}, allscores as (select q.id query_id, d.id doc_id, coalesce(score, 0) score from queries q cross join docs d left join scores s on s.query_id = q.id and s.doc_id = d.id),
+lex as (select query_id, doc_id, {_RANK} rank from allscores),
+qv as ({_vector('queries')}), dv as ({_vector('docs')}),
+sims as (select qv.id query_id, dv.id doc_id, list_sum(list_transform(range(1, 17), lambda i: qv.v[i] * dv.v[i])) score from qv, dv),
+den as (select query_id, doc_id, {_RANK} rank from sims),
+hybrid as (select query_id, doc_id, 0.4 / (61 + lex.rank) + 0.6 / (61 + den.rank) score from lex join den using (query_id, doc_id)),
+ranked as (select query_id, doc_id, score, {_RANK} rank from hybrid)"""
 _GOLD = f"""with gold as (select *, coalesce({_rail('first_customer_message')} is not null, false) or coalesce(model_confidence, 0.5) < 0.45 escalated from golden_set)"""
 _LABELS = f"""{_GOLD}, used as (select correct_intent g, predicted_intent p from gold where correct_intent is not null and predicted_intent is not null),
 each as (select g label, g = p hit, true is_gold from used union all select p, g = p, false from used),
@@ -84,14 +101,14 @@ ratings as (select item, 'a' rater, cast(least(5, floor(a * 5) + 1) as integer)
   select item, 'b', cast(least(5, floor(b * 5) + 1) as integer) from base where b is not null union all select item, 'c', least(5, c) from base where c is not null)"""
 
 
-def _kappa(source: str, by: str, weight: str) -> str:
+def _kappa(source: str, by: str, weight: str, digits: int = 6) -> str:
     return f"""cells as (select {by}, a, b, count(*) o from {source} group by all),
 labs as (select {by}, label, row_number() over (partition by {by} order by label) i from (select {by}, a label from cells union select {by}, b from cells)),
 obs as (select c.*, x.i ia, y.i ib from cells c join labs x on x.{by} = c.{by} and x.label = c.a join labs y on y.{by} = c.{by} and y.label = c.b),
 ma as (select {by}, ia, sum(o) m from obs group by all), mb as (select {by}, ib, sum(o) m from obs group by all), tot as (select {by}, sum(o) n from obs group by all),
 e as (select ma.{by}, sum({weight} * ma.m * mb.m / n) e from ma join mb on ma.{by} = mb.{by} join tot on tot.{by} = ma.{by} group by all),
 w as (select {by}, sum({weight} * o) w, sum(o) n from obs group by all),
-k as (select w.{by}, round(coalesce(1 - w / nullif(e, 0), 1.0), 6) kappa, cast(n as bigint) n from w join e on w.{by} = e.{by})"""
+k as (select w.{by}, round(coalesce(1 - w / nullif(e, 0), 1.0), {digits}) kappa, cast(n as bigint) n from w join e on w.{by} = e.{by})"""
 
 
 _PAIRS = f"{_GOLD}, pr as (select 1 one, correct_intent a, predicted_intent b from gold where correct_intent is not null and predicted_intent is not null)"
@@ -153,11 +170,24 @@ SQL = {
     "bm25_documents": f"""{_bm25("select doc_id id, text body from documents", "select name id, description body from taxonomy")},
   norm as (select query_id, doc_id, case when max(score) over (partition by query_id) > 0 then score / max(score) over (partition by query_id) else score end score from scores),
   ranked as (select *, {_RANK} rank from norm) select query_id, doc_id, round(score, 6) score, cast(rank as integer) rank from ranked where rank < 20""",
-    "fused_intents": f"""{_INTENTS}, lex as (select query_id, doc_id, {_RANK} rank from scores),
-  ov as (select q.id query_id, d.id doc_id, count(*)::double score from (select id, unnest(list_distinct({_tokens('body')})) term from queries) q join (select id, unnest(list_distinct({_tokens('body')})) term from docs) d using (term) group by all),
-  ovr as (select query_id, doc_id, {_RANK} rank from ov),
-  fused as (select query_id, doc_id, sum(part) score from (select query_id, doc_id, 0.4 / (61 + rank) part from lex union all select query_id, doc_id, 0.6 / (61 + rank) from ovr) group by all),
-  ranked as (select *, {_RANK} rank from fused) select query_id, doc_id, round(score, 6) score, cast(rank as integer) rank from ranked where rank < 5""",
+    "fused_intents": f"{_HYBRID} select query_id, doc_id, round(score, 6) score, cast(rank as integer) rank from ranked where rank < 5",
+    "fused_metrics": f"""{_HYBRID}, gold as (select thread_id query_id, min(knn_label) doc_id from labelled where knn_label is not null group by 1)
+  select round(avg(coalesce(1.0 / (rank + 1), 0)), 6) mrr, round(avg(case when rank < 5 then 1.0 else 0.0 end), 6) recall, round(avg(case when rank < 5 then 1 / log2(rank + 2) else 0.0 end), 6) ndcg, count(*) n
+  from gold left join ranked using (query_id, doc_id)""",
+    "reranked_intents": f"""{_HYBRID}, pairs as (select query_id, doc_id, list_distinct({_tokens('q.body')}) qw, list_distinct({_tokens('t.description')}) dw
+    from ranked r join queries q on q.id = r.query_id join taxonomy t on t.name = r.doc_id where q.body is not null and rank < 20),
+  again as (select query_id, doc_id, {_OVERLAP} score from pairs), placed as (select *, {_RANK} rank from again)
+  select query_id, doc_id, round(score, 6) score, cast(rank as integer) rank from placed where rank < 5""",
+    "reranked_documents": f"""{_bm25("select doc_id id, text body from documents", "select name id, description body from taxonomy")},
+  norm as (select query_id, doc_id, case when max(score) over (partition by query_id) > 0 then score / max(score) over (partition by query_id) else score end score from scores),
+  first as (select query_id, doc_id, {_RANK} rank from norm),
+  pairs as (select query_id, f.doc_id, list_distinct({_tokens('q.body')}) qw, list_distinct({_tokens('d.text')}) dw from first f join queries q on q.id = f.query_id join documents d on d.doc_id = f.doc_id where rank < 20),
+  again as (select query_id, doc_id, {_OVERLAP} score from pairs), placed as (select *, {_RANK} rank from again)
+  select query_id, doc_id, score, cast(rank as integer) rank from placed where rank < 5""",
+    "dense_neighbours": f"""with u as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) v from embeddings),
+  n as (select vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) l from u),
+  sims as (select q.vec_id query_id, d.vec_id doc_id, list_dot_product(q.v, d.v) / (q.l * d.l) score from n q, n d where q.vec_id % 50 = 0),
+  placed as (select *, {_RANK} rank from sims) select query_id, doc_id, round(score, 6) score, cast(rank as integer) rank from placed where rank < 20""",
     "retrieval_metrics": f"""{_INTENTS}, lex as (select query_id, doc_id, {_RANK} + 1 r from scores),
   gold as (select thread_id query_id, min(knn_label) doc_id from labelled where knn_label is not null group by 1)
   select round(avg(coalesce(1.0 / r, 0)), 6) mrr, round(avg(case when r <= 5 then 1.0 else 0.0 end), 6) recall, round(avg(case when r <= 5 then 1 / log2(r + 1) else 0.0 end), 6) ndcg, count(*) n
@@ -184,7 +214,7 @@ SQL = {
   select round((tp + tn) / (tp + fp + fn + tn), 6) accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) "precision", round(coalesce(tp / nullif(tp + fn, 0), 0), 6) recall,
   round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) f1, round(coalesce(fp / nullif(fp + tn, 0), 0), 6) over_rate, tp + fp + fn + tn n from c""",
     "accuracy_interval": f"""with h as (select thread_id, max((correct_intent = predicted_intent)::int)::double hit from golden_set group by 1),
-  d as (select r, hit, (cast('0x' || substr(md5('42:' || r || ':' || thread_id), 1, 8) as bigint) + 0.5) / 4294967296.0::double u from h, range(1, 201) t(r) where hit is not null),
+  d as (select r, hit, (cast('0x' || substr(md5('42:' || r || ':' || thread_id), 1, 8) as bigint) + 0.5) / 4294967296.0::double u from h, range(1, 2001) t(r) where hit is not null),
   m as (select r, sum(hit * ({_POISSON})) / nullif(sum({_POISSON}), 0) mean from d group by 1)
   select round(quantile_cont(mean, 0.025), 6) lower, round(quantile_cont(mean, 0.975), 6) upper from m""",
     "intent_kappa": f"""select 'none' kind, kappa, n from ({_PAIRS}, {_kappa('pr', 'one', '(ia <> ib)::int')} select * from k)
@@ -192,12 +222,75 @@ SQL = {
     "rater_kappas": f"""{_RATINGS}, pr as (select x.rater || y.rater who, x.score a, y.score b from ratings x join ratings y on x.item = y.item and x.rater < y.rater),
   {_kappa('pr', 'who', 'pow(ia - ib, 2)')} select who[1] rater_a, who[2] rater_b, kappa, n from k""",
     "jury_median": f"{_RATINGS} select item, cast(median(score) as double) median, cast(round_even(avg(score), 0) as integer) vote from ratings group by 1",
-    "judge_as_annotator": f"""{_RATINGS}, h as (select * from ratings where rater <> 'c'),
-  loo as (select rater, score, cast(round_even((sum(score) over (partition by item) - score) / (count(*) over (partition by item) - 1), 0) as integer) o, count(*) over (partition by item) n from h),
+    "judge_as_annotator": f"""with ratings as (select * from ({_RATINGS} select * from ratings)), h as (select * from ratings where rater <> 'c'),
+  loo as (select item, rater, score, cast(round_even((sum(score) over (partition by item) - score) / (count(*) over (partition by item) - 1), 0) as integer) o, count(*) over (partition by item) n from h),
   human as (select avg(a) a from (select rater, avg((score = o)::int) a from loo where n > 1 group by 1)),
   votes as (select item, cast(round_even(avg(score), 0) as integer) v from h group by 1),
-  judge as (select avg((score = v)::int) a from ratings join votes using (item) where rater = 'c')
-  select round(judge.a, 6) judge_agreement, round(human.a, 6) human_agreement, case when judge.a >= human.a - 0.05 then 'YES' else 'NO' end verdict from judge, human""",
+  judge as (select avg((score = v)::int) a, count(*) n from ratings join votes using (item) where rater = 'c'),
+  jk as (with pr as (select 1 one, score a, v b from ratings join votes using (item) where rater = 'c'), {_kappa('pr', 'one', 'pow(ia - ib, 2)', 12)} select kappa from k),
+  hk as (with pr as (select rater, score a, o b from loo where n > 1), {_kappa('pr', 'rater', 'pow(ia - ib, 2)', 12)} select avg(kappa) kappa, count(*) n from k)
+  select round(judge.a, 6) judge_agreement, round(human.a, 6) human_agreement, case when judge.a >= human.a - 0.05 then 'YES' else 'NO' end verdict,
+  round(jk.kappa, 6) judge_kappa, round(hk.kappa, 6) human_kappa, judge.n n_items, hk.n n_raters from judge, human, jk, hk""",
+    "mean_rater_kappa": f"""{_RATINGS}, pr as (select x.rater || y.rater who, x.score a, y.score b from ratings x join ratings y on x.item = y.item and x.rater < y.rater),
+  {_kappa('pr', 'who', 'pow(ia - ib, 2)', 12)} select round(coalesce(avg(kappa), 1.0), 6) kappa, count(*) pairs from k""",
+    "win_rate": f"{_RATINGS} select round(avg((x.score > y.score)::int), 6) win_rate, count(*) n from ratings x join ratings y using (item) where x.rater = 'a' and y.rater = 'b'",
+    "evaluation_record": f"""{_GOLD}, base as (select *, {_rail('first_customer_message')} is not null railed from gold where correct_intent is not null),
+  names as (select list_sort(list(distinct correct_intent)) l from base), top as (select correct_intent t from base group by 1 order by count(*) desc, 1 limit 1),
+  every as (select 'agent' system, thread_id, correct_intent g, predicted_intent p, should_escalate ge, escalated e from base
+    union all select 'random', thread_id, correct_intent, l[{_draw(7, 'thread_id')} % len(l) + 1], should_escalate, true from base, names
+    union all select 'majority', thread_id, correct_intent, t, should_escalate, coalesce(railed, false) from base, top),
+  acc as (select system, count(*) n, avg((g = p)::int) accuracy from every where p is not null group by 1),
+  hits as (select system, thread_id, max((g = p)::int)::double hit from every where p is not null group by 1, 2),
+  d as (select system, r, hit, (cast('0x' || substr(md5('42:' || r || ':' || thread_id), 1, 8) as bigint) + 0.5) / 4294967296.0::double u from hits, range(1, 2001) t(r)),
+  m as (select system, r, sum(hit * ({_POISSON})) / nullif(sum({_POISSON}), 0) mean from d group by 1, 2),
+  ci as (select system, quantile_cont(mean, 0.025) lower, quantile_cont(mean, 0.975) upper from m group by 1),
+  sides as (select system, g label, g = p hit, true is_gold from every where p is not null union all select system, p, g = p, false from every where p is not null),
+  f1s as (select system, label, coalesce(2.0 * count(*) filter (where hit and is_gold) / nullif(2 * count(*) filter (where hit and is_gold) + count(*) filter (where not hit), 0), 0) f1 from sides group by 1, 2),
+  mf as (select system, avg(f1) macro_f1 from f1s group by 1),
+  c as (select system, count(*) filter (where ge and e) tp, count(*) filter (where not ge and e) fp, count(*) filter (where ge and not e) fn, count(*) filter (where not ge and not e) tn from every where ge is not null group by 1)
+  select system, n, round(accuracy, 6) accuracy, round(lower, 6) lower, round(upper, 6) upper, round(macro_f1, 6) macro_f1, round((tp + tn) / (tp + fp + fn + tn), 6) flag_accuracy,
+  round(coalesce(tp / nullif(tp + fp, 0), 0), 6) "precision", round(coalesce(tp / nullif(tp + fn, 0), 0), 6) recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) flag_f1,
+  round(coalesce(fp / nullif(fp + tn, 0), 0), 6) over_rate from acc join ci using (system) join mf using (system) join c using (system)""",
+    "median_interval": f"""with h as (select thread_id, max(tweet_count)::double v from labelled group by 1),
+  d as (select r, v, (cast('0x' || substr(md5('42:' || r || ':' || thread_id), 1, 8) as bigint) + 0.5) / 4294967296.0::double u from h, range(1, 201) t(r) where v is not null),
+  e as (select r, v, unnest(range({_POISSON})) from d), m as (select r, quantile_cont(v, 0.5) s from e group by 1)
+  select quantile_cont(s, 0.025) lower, quantile_cont(s, 0.975) upper from m""",
+    "golden_set_rows": f"""with base as (select thread_id, min(coalesce(calibrated_conf, 1.0)) conf, max(tweet_count) tweets, min(first_customer_message) m, {_draw(42, 'thread_id')} d from labelled group by 1),
+  a as (select thread_id from base order by conf, thread_id limit 60),
+  b as (select thread_id from base where thread_id not in (from a) and tweets >= 4 order by d, thread_id limit 40),
+  c as (select thread_id from base where thread_id not in (from a) and thread_id not in (from b) and length(m) < 20 order by d, thread_id limit 20),
+  three as (select thread_id, 'low_confidence' stratum from a union all select thread_id, 'long' from b union all select thread_id, 'short' from c),
+  e as (select thread_id, row_number() over (order by d, thread_id) nth from base where thread_id not in (select thread_id from three)),
+  every as (from three union all select thread_id, 'rest' from e where nth <= 200 - (select count(*) from three))
+  select thread_id, stratum, row_number() over (order by {_draw(43, 'thread_id')}, thread_id) <= 50 double_annotate, cast(row_number() over (order by {_draw(44, 'thread_id')}, thread_id) as integer) place from every""",
+    "provider_chain": """select sha256('{"messages":[{"content":"' || description || '","role":"user"}],"model":"stub","params":{},"provider":"local"}') key,
+  case when length(description) % 2 = 1 then 'last ' else 'late ' end || length(description) response, case when length(description) % 2 = 1 then 'last' else 'late' end provider,
+  'spent: BudgetSpent: 50 calls' || case when length(description) % 2 = 1 then '; late: Busy: 429' else '' end errors from taxonomy""",
+    "cached_answers": """with p as (select distinct first_customer_message m from labelled where first_customer_message is not null),
+  f as (select m in (select first_customer_message from golden_set where first_customer_message is not null) cached from p)
+  select case when cached then 'kept' else 'new' end response, 'stub' provider, cached, count(*) n from f group by all""",
+    "cache_statistics": "select coalesce(event_type, 'unknown') provider, count(*) n, (select count(*) from events) total from events group by 1",
+    "ledger_of_first_day": "select event_type provider, count(*) calls from events where strftime(ts, '%Y-%m-%d') = (select strftime(min(ts), '%Y-%m-%d') from events) and event_type is not null group by 1",
+    "second_labeller": f"""with base as (select thread_id, min(knn_label) f, {_draw(42, 'thread_id')} d from labelled group by 1), picked as (select * from base order by d, thread_id limit 300),
+  placed as (select *, row_number() over (order by thread_id) - 1 place from picked), names as (select list_sort(list(name)) l from taxonomy)
+  select round(avg((f = l[(place % 20) % len(l) + 1])::int), 6) accuracy, count(*) n from placed, names where f is not null""",
+    "merged_clusters": "select case when c % 4 < 3 then 'intent_' || c % 4 else 'out_of_scope' end as name, c as cluster from (select distinct vec_id % 30 c from embeddings)",
+    "agent_answers": f"""{_INTENTS}, top as (select query_id, doc_id, {_RANK} rank from scores),
+  ev as (select query_id, count(*) found, string_agg(doc_id, ',' order by rank) filter (where rank < 3) cited from top where rank < 5 group by 1),
+  base as (select thread_id query_id, min(first_customer_message) m, min(calibrated_conf) c, coalesce(min(knn_margin), 1.0) g from labelled group by 1),
+  r as (select query_id, {_rail('m')} rail, c, g, coalesce(found, 0) t, coalesce(cited, '') cited from base left join ev using (query_id) where m is not null),
+  o as (select *, case when rail is not null or t = 0 or c < 0.35 then 'escalate' else 'auto_handle' end as action from r)
+  select query_id, action, case when rail is not null then rail when t = 0 then 'retrieval_empty' when c < 0.35 then case when g < 0.1 then 'low_intent_confidence' else 'low_calibrated_confidence' end else 'passed_all_gates' end reason_code,
+  case when action = 'escalate' then '[ESCALATED]' else 'Thank you.' end reply, case when action = 'escalate' then '' else cited end cited from o""",
+    "golden_csv_round_trip": "select * exclude (first_customer_created_at), epoch_us(try_cast(first_customer_created_at as timestamptz)) asked_at from golden_set",
+    "calibration_record": f"""{_CAL}, bins as (select case {_BINS} end b, count(*) n, avg(correct) acc, avg(score) conf from cal group by 1),
+  run as (select score, row_number() over w n, sum(1 - correct) over (order by score desc, thread_id rows unbounded preceding) e from cal window w as (order by score desc, thread_id)),
+  t as (select coalesce(min(score) filter (where round(e / n + sqrt(ln(1 / 0.05) / (2 * n)), 9) <= 0.4), 0.0) tau from run)
+  select tau, round(sum(case when b is null then 0 else n * abs(acc - conf) end) / sum(n), 6) ece, 0.4::double alpha, 0.05::double delta, cast(sum(n) as bigint) n from bins, t group by tau""",
+    "full_report": """with i as (select string_agg('| ' || coalesce(knn_label, '') || ' | ' || n || ' |', chr(10) order by knn_label nulls first) t from (select knn_label, count(*) n from labelled group by 1)),
+  d as (select string_agg('| ' || coalesce(k, '') || ' | ' || n || ' |', chr(10) order by k nulls first) t from (select lower(trim(difficulty)) k, count(*) n from golden_set group by 1))
+  select '# Report' || chr(10, 10) || '## Intents' || chr(10, 10) || '| intent | n |' || chr(10) || '|---|---|' || chr(10) || i.t || chr(10, 10) || '## Difficulty' || chr(10, 10)
+  || '| difficulty | n |' || chr(10) || '|---|---|' || chr(10) || d.t markdown from i, d""".replace("chr(10, 10)", "chr(10) || chr(10)"),
     "swapped_verdicts": f"""with p as (select ['A', 'B', 'tie'][{_draw(1, 'thread_id')} % 3 + 1] a, ['A', 'B', 'tie'][{_draw(2, 'thread_id')} % 3 + 1] b from (select distinct thread_id from labelled)),
   s as (select a, b, case a when 'A' then 'agent_win' when 'B' then 'baseline_win' else 'tie' end x, case b when 'B' then 'agent_win' when 'A' then 'baseline_win' else 'tie' end y from p)
   select case when x = y then x else 'tie' end verdict, a = b same_letter, x = y same_side, count(*) n from s group by 1, 2, 3""",

@@ -201,3 +201,77 @@ def test_registry_without_the_text_problems(monkeypatch):
 
     monkeypatch.setitem(sys.modules, "skein.llm", None)
     assert "p2_found" in entry.queries() and "p1_found" not in entry.queries()
+
+
+def test_replies_with_arrays_and_templates(spark):
+    rows = spark.createDataFrame([("```json\n[1, [2]]\n```", "a"), ("Here: [\"x\"] done", None), ("none", "b")], "r string, v string")
+    got = [tuple(r) for r in rows.select(T.json_array(F.col("r")), T.fill("{{{v}}} of {v}!", v=F.col("v"))).collect()]
+    assert got == [("[1, [2]]", "{a} of a!"), ('["x"]', "{} of !"), ("none", "{b} of b!")]
+    times = spark.createDataFrame([("2017-10-31T22:10:47+00:00",), ("2017-10-31 22:10:47",), ("NaT",), ("",), (None,)], "t string")
+    assert [r[0] for r in times.select(F.unix_micros(T.iso_time(F.col("t")))).collect()] == [1509487847000000] * 2 + [None] * 3
+
+
+def test_busy_providers_are_called_again_after_growing_waits(spark, tmp_path):
+    log = tmp_path / "waits"
+
+    def wait(seconds):
+        with open(log, "a") as f:
+            f.write(f"{seconds} ")
+
+    def busy(_):
+        raise services.Busy("later")
+
+    def broken(_):
+        raise ValueError("no key")
+
+    rows = spark.createDataFrame([("k", "hi")], "key string, prompt string")
+    got = one(services.complete(rows, [("a", busy), ("b", broken), ("c", str.upper)], attempts=4, wait=wait, errors=True))
+    assert (got["response"], got["provider"], got["errors"]) == ("HI", "c", ["a: Busy: later", "b: ValueError: no key"])
+    assert log.read_text().split() == ["1.0", "2.0", "4.0"]
+
+
+def test_documents_without_a_shared_word_are_ranked_last(spark):
+    docs = spark.createDataFrame([("a", "x y"), ("b", "z"), ("c", None)], "doc_id string, body string")
+    asked = spark.createDataFrame([("q", "z z"), ("r", None)], "query_id string, m string")
+    scores = retrieval.with_zeros(retrieval.bm25(docs, "doc_id", "body", asked, "query_id", "m"), asked, docs)
+    got = {(r["query_id"], r["doc_id"]): r["rank"] for r in retrieval.ranked(scores).collect()}
+    assert got == {("q", "b"): 0, ("q", "a"): 1, ("q", "c"): 2, ("r", "a"): 0, ("r", "b"): 1, ("r", "c"): 2}
+
+
+def test_dense_neighbours_in_blocks(spark):
+    import numpy as np
+
+    r = np.random.default_rng(0).standard_normal((60, 4))
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(r)] + [(60, None), (61, [0.0] * 4)], "doc_id bigint, vector array<double>")
+    asked = docs.select(F.col("doc_id").alias("query_id"), "vector").where("query_id < 7")
+    u = r / np.linalg.norm(r, axis=1, keepdims=True)
+    want = {(q, int(d), k) for q in range(7) for k, d in enumerate(np.argsort(-(u[q] @ u.T))[:5])}
+    for block in (2, 100):
+        assert {(x["query_id"], x["doc_id"], x["rank"]) for x in retrieval.dense_top(asked, docs, 5, block).collect()} == want
+    assert retrieval.dense_top(asked.limit(0), docs).count() == 0
+
+
+def test_texts_are_embedded_by_an_injected_encoder(spark):
+    import numpy as np
+
+    rows = spark.createDataFrame([("ab",), ("",), (None,)], "t string")
+    got = [r["embedding"] for r in retrieval.embed(rows, "t", lambda ts: np.array([[3.0 * len(t), 4.0 * len(t)] for t in ts])).collect()]
+    assert [[round(x, 6) for x in v] for v in got] == [[0.6, 0.8], [0, 0], [0, 0]]
+
+
+def test_any_statistic_can_be_resampled(spark):
+    rows = spark.createDataFrame([(i, float(i)) for i in range(101)], "id int, v double")
+    got = one(sampling.interval(sampling.resample(rows, "id", "v", 100, sampling.weighted_median), stat="stat"))
+    assert 30 < got["lower"] < 50 < got["upper"] < 70
+
+
+def test_fewer_than_two_raters_agree(spark):
+    rows = spark.createDataFrame([(1, "a", 3)], "item int, rater string, score int")
+    assert tuple(one(evaluation.mean_rater_kappa(rows, "item", "rater", "score"))) == (1.0, 0)
+
+
+def test_choices_are_escaped(spark):
+    from skein.sources import files
+
+    rows = spark.createDataFrame([('a<b & "c"',)], "name string")
+    assert one(files.choices_xml(rows))["xml"] == '<Choice value="a&lt;b &amp; &quot;c&quot;"/>'
