@@ -83,3 +83,10 @@ def test_common_subsequence():
 
     assert leakage.common_subsequence(np.array([1, 2, 3, 4]), np.array([2, 9, 4, 1])) == 2
     assert leakage.common_subsequence(np.array([], int), np.array([1])) == 0
+
+
+def test_no_run_is_lost_by_the_bound_on_cosines(spark, monkeypatch):
+    docs, items = corpus(4)
+    items += [(200 + i, b) for i, b in items[:5]]  # runs that several items have
+    monkeypatch.setattr(leakage, "NEAR", 0.8)
+    assert found(spark, docs, items) == brute(docs, items)
