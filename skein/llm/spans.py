@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.functions.codepoints import encode, sliding_max, sliding_min, window_hashes
+from skein.functions.codepoints import encode, mix, sliding_max, sliding_min, window_hashes
 from skein.functions.sieve import Sieve
 from skein.operators.graph import connected_components
 from skein.session import cut, drop
@@ -74,7 +74,7 @@ def _mark(k: int, w: int):
 
 
 def _grams(size: int):
-    """The hash of every run of ``size`` characters that starts in one of a text's regions."""
+    """Two hashes of every run of ``size`` characters that starts in one of a text's regions."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,14 +86,26 @@ def _grams(size: int):
                     if low >= high:
                         continue
                     done = high
-                    h = window_hashes(codes[low : high + size - 1], size)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(h), doc)), pa.array(h.view(np.int64)), pa.array(np.arange(low, high, dtype=np.int32))], ["doc", "gram", "at"]
-                    )
+                    own = codes[low : high + size - 1]
+                    h, more = window_hashes(own, size), window_sums(own, size)
+                    columns = [np.full(len(h), doc), h.view(np.int64), more, np.arange(low, high, dtype=np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "gram", "more", "at"])
 
     return over
 
 
+def window_sums(codes: np.ndarray, size: int) -> np.ndarray:
+    """A second hash, of 32 bits, of every run of ``size`` code points: independent of the first, by sums that only need two
+    running totals. What is summed are mixed codes times their place, so the order counts."""
+    spread = mix(codes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x2545F4914F6CDD1D))
+    place = np.arange(1, len(codes) + 1, dtype=np.uint64)
+    plain, weighted = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)]) for x in (spread, spread * place))
+    n = len(codes) - size + 1
+    first = np.arange(n, dtype=np.uint64)
+    own, by_place = plain[size : size + n] - plain[:n], weighted[size : size + n] - weighted[:n]
+    return (mix(by_place - first * own + own * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def _paths(occurrences: DataFrame, k: int) -> DataFrame:
     """(doc, path, low, high): where records run along a nonbranching path of edges between repeated tokens.
 
@@ -135,13 +147,14 @@ def shared_spans(docs: DataFrame, min_len: int = 120, key: str = "doc_id", text:
     once = cut(rows.where(Sieve(regions, "doc").passes("doc")).join(regions, "doc").groupBy("doc").agg(F.min("text").alias("text"), F.first("regions").alias("regions")))
     drop(occurrences)
     digest = once.select("doc", F.sha2("text", 256).alias("digest"), F.length("text").alias("n"))
-    copies = digest.withColumn("first", F.min("doc").over(Window.partitionBy("digest"))).withColumn("n_copies", F.count("*").over(Window.partitionBy("digest")))
-    copies = cut(copies.where("n_copies > 1").select("doc", "first", "n"))
+    several = digest.groupBy("digest").agg(F.min("doc").alias("first"), F.count("*").alias("n_copies")).where("n_copies > 1")
+    copies = cut(digest.join(several, "digest").select("doc", "first", "n"))
     others = copies.where("doc <> first").select("doc")
-    # Equal hashes of min_len characters; those of other records decide, so a record's own repeats do not count.
-    grams = cut(once.join(others, "doc", "left_anti").select("doc", "text", "regions").mapInArrow(_grams(min_len), "doc bigint, gram bigint, at int"))
-    shared = cut(grams.groupBy("gram").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("gram"))
-    starts = grams.where(Sieve(shared, "gram").passes("gram")).join(shared, "gram", "left_semi").join(copies.select("doc"), "doc", "left_anti").select("doc", "at")
+    # Equal hashes of min_len characters, 96 bits of two kinds; those of other records decide, so a record's own repeats do
+    # not count.
+    grams = cut(once.join(others, "doc", "left_anti").select("doc", "text", "regions").mapInArrow(_grams(min_len), "doc bigint, gram bigint, more int, at int"))
+    shared = cut(grams.groupBy("gram", "more").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("gram", "more"))
+    starts = grams.where(Sieve(shared, "gram", "more").passes("gram", "more")).join(shared, ["gram", "more"], "left_semi").join(copies.select("doc"), "doc", "left_anti").select("doc", "at")
     order = Window.partitionBy("doc").orderBy("at")
     fresh = F.coalesce(F.col("at") > F.lag("at").over(order) + min_len, F.lit(True)).cast("int")
     spans = starts.withColumn("fresh", fresh).withColumn("span", F.sum("fresh").over(order)).groupBy("doc", "span")

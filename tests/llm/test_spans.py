@@ -64,3 +64,12 @@ def test_portion_and_empty_table(spark):
     got = {r["doc_id"]: (r["shared_chars"], round(r["portion"], 3)) for r in spans.shared_portion(df, spans.shared_spans(df)).collect()}
     assert got == {1: (120, 1.0), 2: (120, 0.992), 3: (0, 0.0)}
     assert spans.shared_spans(df.limit(0)).count() == 0
+
+
+def test_second_hash_tells_order_and_place():
+    import numpy as np
+
+    codes = np.array([ord(c) for c in "abcabcbacab" * 3])
+    h = spans.window_sums(codes, 4)
+    texts = ["".join(map(chr, codes[i : i + 4])) for i in range(len(codes) - 3)]
+    assert all((h[i] == h[j]) == (texts[i] == texts[j]) for i in range(len(texts)) for j in range(len(texts)))
