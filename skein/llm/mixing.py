@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import heapq
+import random
 from collections.abc import Iterator
 from functools import lru_cache
+from math import gcd
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Tokenizer files of the public_tokenizers folder.
 TOKENIZER_DIR = "/opt/tokenizers"
 TOKENIZER_FILE = "byte_bpe_50k.json"
+#: Most shards of a source, and about how many blocks each has below that.
+SHARDS, SHARD_BLOCKS = 4_096, 64
 
 
 def source_key(c: Column) -> Column:
@@ -60,59 +65,96 @@ def supply(docs: DataFrame, targets: DataFrame, source: str = "source", tokens:
     return out.withColumn("reachable", F.col("tokens") * F.col("max_repeats") >= F.col("target_share") * F.col("total_tokens"))
 
 
-def sainte_lague(shares: dict[str, float], caps: dict[str, int], seats: int) -> dict[str, int]:
-    """Blocks per source by highest quotients share / (2 * given + 1); a source at its cap drops out of the race.
+def apportion(shares: np.ndarray, caps: np.ndarray, seats: int) -> np.ndarray:
+    """Seats by highest quotients share / (2 * given + 1), none beyond its cap; ties go to the first.
 
-    Ties go to the source first in the alphabet. Fewer than ``seats`` blocks are given only if all caps are reached.
+    A common divisor gives all seats whose quotients are surely among the highest at once; only the last ones, no more than
+    there are parties, are given one by one. Fewer than ``seats`` are given only if all caps are reached.
     """
-    given = dict.fromkeys(shares, 0)
-    heap = [(-share, name) for name, share in shares.items() if share > 0 and caps[name] > 0]
+    shares, caps = np.asarray(shares, float), np.where(np.asarray(shares, float) > 0, np.asarray(caps, np.int64), 0)
+    if not len(caps) or seats >= caps.sum():
+        return caps
+
+    def at(x: float) -> np.ndarray:
+        return np.minimum(caps, np.floor(shares * x + 0.5).astype(np.int64))
+
+    low, high = 0.0, 1.0
+    while at(high).sum() <= seats:
+        high *= 2
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if at(middle).sum() <= seats else (low, middle)
+    given = at(low * (1 - 1e-9))
+    heap = [(-shares[i] / (2 * given[i] + 1), i) for i in range(len(shares)) if given[i] < caps[i]]
     heapq.heapify(heap)
-    for _ in range(seats):
-        if not heap:
-            break
-        _, name = heapq.heappop(heap)
-        given[name] += 1
-        if given[name] < caps[name]:
-            heapq.heappush(heap, (-shares[name] / (2 * given[name] + 1), name))
+    for _ in range(seats - int(given.sum())):
+        _, i = heapq.heappop(heap)
+        given[i] += 1
+        if given[i] < caps[i]:
+            heapq.heappush(heap, (-shares[i] / (2 * given[i] + 1), i))
     return given
 
 
+def sainte_lague(shares: dict[str, float], caps: dict[str, int], seats: int) -> dict[str, int]:
+    """:func:`apportion` by name; ties go to the name first in the alphabet."""
+    names = sorted(shares)
+    return dict(zip(names, apportion([shares[n] for n in names], [caps[n] for n in names], seats).tolist(), strict=True))
+
+
+def quotas(docs: DataFrame, targets: DataFrame, block: int, source: str = "source", tokens: str = "tokens", blocks: int | None = None) -> list[dict]:
+    """One entry per target source: what :func:`supply` says, with ``cap``, the blocks it can give, and ``quota``, those it gives.
+
+    By default the mix has as many blocks as the source that runs out first allows. A source without a single block, such as
+    one without documents, can hold no share; it has quota 0 and does not limit the others.
+    """
+    have = [r.asDict() for r in supply(docs, targets, source, tokens).collect()]  # one row per target source
+    for r in have:
+        r["cap"] = int(r["tokens"]) * int(r["max_repeats"] or 0) // block
+    shares, caps = {r["source"]: float(r["target_share"] or 0) for r in have}, {r["source"]: r["cap"] for r in have}
+    if blocks is None:
+        blocks = int(min((caps[s] / share for s, share in shares.items() if share > 0 and caps[s] > 0), default=0))
+    given = sainte_lague(shares, caps, blocks)
+    return [r | {"quota": given[r["source"]]} for r in have]
+
+
 def mix(docs: DataFrame, targets: DataFrame, block: int, seed: int = 0, key: str = "doc_id", source: str = "source", tokens: str = "tokens", blocks: int | None = None) -> DataFrame:
     """(doc_id, source, tokens, repeats): how often each document is used; every document of a used source at most ``max_repeats`` times.
 
-    The mix has ``blocks`` blocks of ``block`` tokens, apportioned to the sources by :func:`sainte_lague`. By default it
-    is the largest mix in which every source keeps its share under its cap. A source's quota is filled by whole passes
-    over its documents and one seeded partial pass: documents in hash order until their tokens reach what is left.
-    That order needs no global sort: documents fall into 4,096 shards of the hash, shard totals say which
-    shards are in as a whole, and only the one shard at the edge is sorted.
+    The mix has ``blocks`` blocks of ``block`` tokens (:func:`quotas`), apportioned to the sources and again, by the same
+    rule, to the shards of each source: up to ``SHARDS`` parts of its documents by a seeded hash, so that a large source
+    is spread over many tasks. A shard's documents, in hash order, are cut into blocks of equal tokens, as near as whole
+    documents allow. Its quota takes every block as often as it is a multiple of their number, and the rest from a
+    seeded permutation of them.
 
     Documents without a source, or of a source without a target, are not used. Null texts have 0 tokens and are used
     with their block. Extra columns are ignored; a repeated key is a document each time.
     """
     ready = docs.where(F.col(source).isNotNull()).select(F.col(key).alias("doc_id"), source_key(F.col(source)).alias("source"), F.coalesce(tokens, F.lit(0)).alias("tokens"))
-    have = [r.asDict() for r in supply(ready, targets).collect()]  # one row per target source
-    shares = {r["source"]: float(r["target_share"] or 0) for r in have}
-    caps = {r["source"]: int(r["tokens"]) * int(r["max_repeats"] or 0) // block for r in have}
-    if blocks is None:
-        blocks = int(min((caps[s] / share for s, share in shares.items() if share > 0 and caps[s] > 0), default=0))
-    quota = {s: n * block for s, n in sainte_lague(shares, caps, blocks).items()}
+    have = {r["source"]: r for r in quotas(ready, targets, block, blocks=blocks) if r["quota"] > 0}
     spark = docs.sparkSession
-    passes = [(r["source"], quota[r["source"]] // r["tokens"], quota[r["source"]] % r["tokens"], int(r["max_repeats"])) for r in have if quota[r["source"]] > 0]
-    plan = spark.createDataFrame(passes, "source string, whole bigint, rest bigint, cap bigint")
-    ready = ready.join(F.broadcast(plan), "source").withColumn("order", F.xxhash64(F.lit(seed), "source", "doc_id"))
-    ready = ready.withColumn("shard", F.pmod(F.shiftright("order", 40), F.lit(4096)))
-    from pyspark.sql import Window
-
-    totals = ready.groupBy("source", "shard").agg(F.sum("tokens").alias("in_shard"))
-    totals = totals.withColumn("before", F.sum("in_shard").over(Window.partitionBy("source").orderBy("shard")) - F.col("in_shard"))
-    ready = ready.join(F.broadcast(totals), ["source", "shard"])  # 4,096 rows per target source
-    edge = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("in_shard") > F.col("rest"))
-    inner = Window.partitionBy("source", "shard").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    at_edge = ready.where(edge).withColumn("ahead", F.col("before") + F.coalesce(F.sum("tokens").over(inner), F.lit(0)))
-    at_edge = at_edge.withColumn("extra", (F.col("ahead") + F.col("tokens") <= F.col("rest")).cast("bigint"))
-    others = ready.where(~edge).withColumn("ahead", F.col("before")).withColumn("extra", (F.col("before") < F.col("rest")).cast("bigint"))
-    used = at_edge.unionByName(others).withColumn("repeats", F.least(F.col("whole") + F.col("extra"), F.col("cap")))
+    split = [(s, max(1, min(SHARDS, r["tokens"] // (block * SHARD_BLOCKS)))) for s, r in have.items()]
+    parts = spark.createDataFrame(split, "source string, shards bigint")  # one row per target source
+    ready = ready.join(F.broadcast(parts), "source").withColumn("order", F.xxhash64(F.lit(seed), "source", "doc_id"))
+    ready = ready.withColumn("shard", F.pmod(F.shiftright("order", 16), F.col("shards")))
+    totals: dict[str, list] = {s: [] for s in have}
+    for r in ready.groupBy("source", "shard").agg(F.sum("tokens").alias("n")).where("n > 0").collect():  # at most SHARDS rows per target source
+        totals[r["source"]].append((r["shard"], r["n"]))
+    plan = []
+    for name, own in totals.items():
+        own.sort()
+        n = np.array([t for _, t in own], np.int64)
+        pieces = np.maximum(1, np.round(n / block).astype(np.int64))
+        quota = apportion(n, pieces * have[name]["max_repeats"], have[name]["quota"])
+        for (shard, size), k, q in zip(own, pieces.tolist(), quota.tolist(), strict=True):
+            r = random.Random(f"{seed}/{name}/{shard}")
+            step = next(x for x in iter(lambda k=k, r=r: r.randrange(1, k + 1), 0) if gcd(x, k) == 1)
+            plan.append((name, shard, size, k, q // k, q % k, step, r.randrange(k)))
+    plan = spark.createDataFrame(plan, "source string, shard bigint, size bigint, pieces bigint, whole bigint, rest bigint, step bigint, start bigint")
+    ready = ready.join(F.broadcast(plan), ["source", "shard"])
+    before = F.sum("tokens").over(Window.partitionBy("source", "shard").orderBy("order", "doc_id")) - F.col("tokens")
+    piece = F.least(F.floor(before * F.col("pieces") / F.col("size")), F.col("pieces") - 1)
+    picked = F.pmod(piece * F.col("step") + F.col("start"), F.col("pieces")) < F.col("rest")
+    used = ready.withColumn("repeats", F.col("whole") + picked.cast("bigint"))
     return used.where("repeats > 0").select("doc_id", "source", "tokens", "repeats")
 
 

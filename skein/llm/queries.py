@@ -14,7 +14,7 @@ __all__ = ["QUERIES", "SQL"]
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = conversations.rebuild(table(spark, sf_dir, "twcs"))
+    got = conversations.rebuild(table(spark, sf_dir, "twcs"), parents=False)
     return got.select(F.col("conv").cast("string").alias("conv_id"), "turn_no", F.col("id").cast("string").alias("tweet_id"), "role")
 
 
@@ -91,6 +91,22 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)
 
 
+def p9_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("source", mixing.count_pieces(F.col("text")).alias("tokens"))
+    rows = [(r["source"], r["cap"], r["quota"]) for r in mixing.quotas(docs, table(spark, sf_dir, "mix_targets"), block=256)]
+    return spark.createDataFrame(rows, "source string, cap bigint, quota bigint")
+
+
+def p9_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of every mix: no document is used too often, and each source has its share within a block and a half of its quota's."""
+    targets = table(spark, sf_dir, "mix_targets")
+    wanted = targets.select(mixing.source_key(F.col("source")).alias("source"), "max_repeats", F.col("target_share").alias("t"))
+    rows = mixing.mix_report(_mix(spark, sf_dir), targets).drop("target_share").join(wanted, "source")
+    total = rows.agg(F.sum("tokens").alias("all_tokens"))
+    off = F.abs(F.col("actual_share") - F.col("t")) * F.col("all_tokens")
+    return rows.join(F.broadcast(total)).select("source", (F.col("max_used") <= F.col("max_repeats")).alias("capped"), (off <= 1.5 * 2048).alias("near"))
+
+
 def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 

@@ -55,6 +55,12 @@ e as (select item_id, array_to_string(w[k:k + 15], ' ') g from (select item_id,
 select distinct doc_id, item_id from d join e using (g)""",
     "p9_found": f"select source from ({_SUPPLY}) where not reachable",
     "p9_supply": _SUPPLY,
+    "p9_quotas": f"""with s as ({_SUPPLY}), caps as (select source, target_share, cast(floor(tokens * max_repeats / 256) as bigint) cap from s),
+  seats as (select cast(floor(min(cap / target_share)) as bigint) n from caps where target_share > 0 and cap > 0),
+  quotients as (select source, target_share / (2 * unnest(range(cap)) + 1) q from caps where target_share > 0),
+  won as (select source, row_number() over (order by q desc, source) place from quotients)
+  select source, cap, (select count(*) from won, seats where won.source = caps.source and place <= n) quota from caps""",
+    "p9_checks": "select distinct lower(trim(source)) source, true capped, true near from mix_targets",
     "p10_found": f"{_SPANS} select * from spans",
     "p10_portion": f"""{_SPANS}, each as (select doc_id, count(*) n_spans, sum(span_end - span_start) chars from spans group by 1)
   select d.doc_id, cast(coalesce(length(text), 0) as integer) n_chars, coalesce(n_spans, 0) n_spans,

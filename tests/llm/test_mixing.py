@@ -38,3 +38,33 @@ def test_token_counts(spark):
     assert [r[0] for r in df.select(mixing.count_pieces(F.col("t"))).collect()] == [4, 0, 0, 1]
     got = [r[0] for r in df.select(mixing.count_tokens(F.col("t"))).collect()]
     assert got[1:3] == [0, 0] and got[3] > 1
+
+
+def test_apportionment_is_that_of_one_seat_at_a_time():
+    import random
+
+    for seed in range(200):
+        r = random.Random(seed)
+        n = r.randrange(1, 9)
+        shares, caps = [r.choice([0, 1, 2, 3, r.random()]) for _ in range(n)], [r.choice([0, 5, 400]) for _ in range(n)]
+        given, seats = [0] * n, r.randrange(600)
+        for _ in range(seats):
+            open_ = [i for i in range(n) if given[i] < caps[i] and shares[i] > 0]
+            if not open_:
+                break
+            given[max(open_, key=lambda i: (shares[i] / (2 * given[i] + 1), -i))] += 1
+        assert mixing.apportion(shares, caps, seats).tolist() == given
+
+
+def test_apportionment_of_many_seats_takes_no_longer():
+    got = mixing.apportion([0.5, 0.3, 0.2], [10**12] * 3, 10**11)
+    assert got.sum() == 10**11 and abs(got[0] - 5 * 10**10) <= 1
+
+
+def test_shards_share_a_source_evenly(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 4)
+    docs, targets = tables(spark, {"a": [20] * 3000, "b": [30] * 400}, [("a", 0.5, 1), ("b", 0.5, 3)])
+    got = mixing.mix(docs, targets, block=500)
+    sums = {r["source"]: r["n"] for r in got.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("n")).collect()}
+    assert abs(sums["a"] / sums["b"] - 1) < 0.03 and abs(sums["b"] - 36_000) <= 1500
+    assert got.where("source = 'a' and repeats > 1 or repeats > 3").count() == 0
