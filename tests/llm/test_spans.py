@@ -73,3 +73,17 @@ def test_second_hash_tells_order_and_place():
     h = spans.window_sums(codes, 4)
     texts = ["".join(map(chr, codes[i : i + 4])) for i in range(len(codes) - 3)]
     assert all((h[i] == h[j]) == (texts[i] == texts[j]) for i in range(len(texts)) for j in range(len(texts)))
+
+
+def test_equal_first_hashes_of_different_texts_are_no_span(spark, monkeypatch):
+    r = random.Random(8)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    same = text(60)
+    rows = [(1, text(40) + same + text(30)), (2, text(25) + same), (3, text(90))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = {tuple(x) for x in spans.shared_spans(df, 30).collect()}
+    assert {d for d, _, _ in want} == {1, 2}
+    # A first hash of four values: all runs collide, the second hash tells them apart.
+    real = spans.window_hashes
+    monkeypatch.setattr(spans, "window_hashes", lambda codes, size: real(codes, size) % np.uint64(4) if size == 30 else real(codes, size))
+    assert {tuple(x) for x in spans.shared_spans(df, 30).collect()} == want
