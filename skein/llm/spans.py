@@ -153,13 +153,15 @@ def shared_spans(docs: DataFrame, min_len: int = 120, key: str = "doc_id", text:
     # Equal hashes of min_len characters, 96 bits of two kinds; those of other records decide, so a record's own repeats do
     # not count.
     grams = cut(once.join(others, "doc", "left_anti").select("doc", "text", "regions").mapInArrow(_grams(min_len), "doc bigint, gram bigint, more int, at int"))
-    shared = cut(grams.groupBy("gram").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("gram"))
-    hits = cut(grams.where(Sieve(shared, "gram").passes("gram")).join(shared, "gram", "left_semi"))
-    drop(grams)
-    # Runs whose first hashes are equal but not the second ones are different texts: each must be shared by itself.
-    mixed = hits.groupBy("gram").agg((F.min("more") < F.max("more")).alias("mixed")).where("mixed").select("gram")
-    unshared = hits.join(mixed, "gram", "left_semi").groupBy("gram", "more").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a = b").select("gram", "more")
-    starts = hits.join(unshared, ["gram", "more"], "left_anti").join(copies.select("doc"), "doc", "left_anti").select("doc", "at")
+    one = [F.min("doc").alias("a"), F.max("doc").alias("b")]
+    shared = cut(grams.groupBy("gram").agg(*one, (F.min("more") < F.max("more")).alias("mixed")).where("a < b").select("gram", "mixed"))
+    hits = grams.where(Sieve(shared, "gram").passes("gram")).join(shared.select("gram"), "gram", "left_semi")
+    mixed = shared.where("mixed")
+    if not mixed.isEmpty():
+        # Runs whose first hashes are equal but not the second ones are different texts: each must be shared by itself.
+        unshared = grams.join(mixed, "gram", "left_semi").groupBy("gram", "more").agg(*one).where("a = b").select("gram", "more")
+        hits = hits.join(unshared, ["gram", "more"], "left_anti")
+    starts = hits.join(copies.select("doc"), "doc", "left_anti").select("doc", "at")
     order = Window.partitionBy("doc").orderBy("at")
     fresh = F.coalesce(F.col("at") > F.lag("at").over(order) + min_len, F.lit(True)).cast("int")
     spans = starts.withColumn("fresh", fresh).withColumn("span", F.sum("fresh").over(order)).groupBy("doc", "span")
