@@ -141,11 +141,13 @@ def shared_spans(docs: DataFrame, min_len: int = 120, key: str = "doc_id", text:
     repeated = cut(marks.groupBy("token").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("token"))
     occurrences = cut(marks.where(Sieve(repeated, "token").passes("token")).join(repeated, "token", "left_semi"))
     drop(marks)
+    drop(repeated)
     # A passage that holds a token starts at most min_len before the token's end, and not behind its start.
     reach = F.struct((F.col("low") + k - min_len).alias("low"), (F.col("high") + 1).alias("high"))
     regions = cut(_paths(occurrences, k).groupBy("doc").agg(F.collect_set(reach).alias("regions")))
     once = cut(rows.where(Sieve(regions, "doc").passes("doc")).join(regions, "doc").groupBy("doc").agg(F.min("text").alias("text"), F.first("regions").alias("regions")))
     drop(occurrences)
+    drop(regions)
     digest = once.select("doc", F.sha2("text", 256).alias("digest"), F.length("text").alias("n"))
     several = digest.groupBy("digest").agg(F.min("doc").alias("first"), F.count("*").alias("n_copies")).where("n_copies > 1")
     copies = cut(digest.join(several, "digest").select("doc", "first", "n"))
@@ -153,6 +155,7 @@ def shared_spans(docs: DataFrame, min_len: int = 120, key: str = "doc_id", text:
     # Equal hashes of min_len characters, 96 bits of two kinds; those of other records decide, so a record's own repeats do
     # not count.
     grams = cut(once.join(others, "doc", "left_anti").select("doc", "text", "regions").mapInArrow(_grams(min_len), "doc bigint, gram bigint, more int, at int"))
+    drop(once)
     one = [F.min("doc").alias("a"), F.max("doc").alias("b")]
     shared = cut(grams.groupBy("gram").agg(*one, (F.min("more") < F.max("more")).alias("mixed")).where("a < b").select("gram", "mixed"))
     hits = grams.where(Sieve(shared, "gram").passes("gram")).join(shared.select("gram"), "gram", "left_semi")
