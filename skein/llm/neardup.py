@@ -6,7 +6,8 @@ many bits: the search for such fingerprints is exact.
 
 The index has three levels. Records are first filed under *masked patterns*: words that two similar records must share,
 the rarest words of each (prefix filtering). Where a word is too common for one node, the node is split by a second and
-a third such word, which similar records must share as well. Within a node the fingerprints are sorted by Gray rank, so
+a third such word, which similar records must share as well. A node that is still too large for a task is split by masked
+bit patterns: of one band of bits more than may differ, similar fingerprints have at least one in common. Within a node the fingerprints are sorted by Gray rank, so
 that neighbours differ in few bits; runs of them form groups whose common bits (mask and pattern) are factored out. Two
 groups are compared first by these: where the differences of the shared bits alone, together with those already counted,
 exceed the bound, the whole pair of groups is pruned. Pairs that remain are compared bit by bit, and what passes is
@@ -31,6 +32,8 @@ from skein.session import cut
 SKETCH = 1 << 22
 #: A word counted more often than this is filed together with a second word (and that with a third).
 COMMON = 2_000
+#: A node of more records than this is split by bands of the fingerprints' bits.
+HOT = 20_000
 GROUP = 64
 #: Members of a large class that are paired at once.
 PART = 1_000
@@ -165,6 +168,37 @@ def _most(total: np.ndarray, threshold: float) -> np.ndarray:
     return np.floor(total * (1 - threshold) / (1 + threshold) + 1e-6).astype(np.int64)
 
 
+def _bands(threshold: float):
+    """For mapInArrow over cards (key, id, size, fp) of large nodes: each under the masked bit patterns that it shares with every
+    similar card.
+
+    Sizes fall into classes, each up to 1 / threshold times as large as the one before, so that similar sets are in the same class or in
+    neighbouring ones: a pair meets in the larger class of the two. A class has one band of bits more than its sets may
+    differ in; where that is more than there are bits the class is one node.
+    """
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        for batch in batches:
+            key, ids, size, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            bits = fp.view(np.uint64)
+            own = np.floor(np.log(np.maximum(size, 1)) / -np.log(threshold) + 1e-9).astype(np.int64)
+            for step in (0, 1):
+                # No set of the class is larger than this, so no two differ in more words than ``most``.
+                most = _most(2 * np.floor(threshold ** -(own + step + 1.0) + 1e-9), threshold)
+                blind = most >= WIDTH
+                bands = np.where(blind, 1, most + 1)
+                for b in range(int(bands.max(initial=0))):
+                    at = np.flatnonzero(bands > b)
+                    low, high = b * WIDTH // bands[at], (b + 1) * WIDTH // bands[at]
+                    masked = (bits[at] >> low.astype(np.uint64)) & ((np.uint64(1) << np.minimum(high - low, 63).astype(np.uint64)) - np.uint64(1) | np.where(high - low == WIDTH, ~np.uint64(0), np.uint64(0)))
+                    masked[blind[at]] = 0
+                    node = mix(key[at].view(np.uint64) * np.uint64(7) + mix(masked * np.uint64(131) + (b + WIDTH * (own[at] + step)).astype(np.uint64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(ids[at]), pa.array(size[at]), pa.array(fp[at])], ["key", "id", "size", "fp"])
+
+    return over
+
+
 def _differ(fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64)
 
@@ -263,6 +297,10 @@ def near_duplicates(docs: DataFrame, key: str, text: str, threshold: float = 0.8
     member = cut(cards.join(several.drop("n"), list(same)).select("id", "rep"))
     alone = member.where("id <> rep").select("id")
     filed = cards.join(alone, "id", "left_anti").select(F.explode("keys").alias("key"), "id", "size", "fp")
+    hot = cut(filed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key"))
+    if not hot.isEmpty():
+        parts = filed.join(hot, "key", "left_semi").select("key", "id", "size", "fp").mapInArrow(_bands(threshold), "key bigint, id bigint, size int, fp bigint")
+        filed = filed.join(hot, "key", "left_anti").unionByName(parts)
     nodes = filed.repartition("key").sortWithinPartitions("key")
     candidates = cut(nodes.mapInArrow(_pairs(threshold), "a bigint, b bigint").distinct())
     sides = cut(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct())

@@ -48,6 +48,14 @@ SQL = {
     "p1_found": f"{_TURNS} select conv conv_id, cast(turn_no as integer) turn_no, id tweet_id, role from numbered where conv in (select conv from kept)",
     "p4_found": f"""{_NEAR} select a tweet_id_a, b tweet_id_b from cand join big x on x.tweet_id = a join big y on y.tweet_id = b
   where len(list_intersect(x.s, y.s)) >= 0.8 * (x.n + y.n - len(list_intersect(x.s, y.s)))""",
+    "p4_groups": f"""with recursive {_NEAR.removeprefix("with ")},
+  classes as (select tweet_id, min(tweet_id) over (partition by list_sort(s)) class_id, s, n from big),
+  reps as (select * from classes where tweet_id = class_id),
+  pairs as (select a, b from cand join reps x on x.tweet_id = a join reps y on y.tweet_id = b where len(list_intersect(x.s, y.s)) >= 0.8 * (x.n + y.n - len(list_intersect(x.s, y.s)))),
+  sides as (select a, b from pairs union all select b, a from pairs),
+  reach as (select tweet_id id, tweet_id low from reps union select s.b, r.low from reach r join sides s on s.a = r.id where r.low < s.b),
+  comp as (select id, min(low) group_id from reach group by 1), links as (select a, count(*) n from sides group by 1)
+  select tweet_id, class_id, group_id, coalesce(l.n, 0) links from classes c join comp on comp.id = c.class_id left join links l on l.a = c.class_id""",
     "p8_found": r"""with w as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w from documents),
 i as (select item_id, regexp_extract_all(lower(body), '[\p{L}\p{N}]+') w from eval_items),
 d as (select doc_id, array_to_string(w[k:k + 15], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 14)) k from w)),

@@ -106,3 +106,25 @@ def test_large_classes_are_paired_in_full(spark, monkeypatch, part):
     mixed = [" ".join(r.sample(w, 14)) for _ in range(130)]
     rows = list(enumerate(mixed + [" ".join(r.sample([*w, "more"], 15)) for _ in range(60)] + [" ".join([*w, "other"])]))
     assert found(spark, rows) == brute(rows, 0.8, 12) != set()
+
+
+@pytest.mark.parametrize(("threshold", "size"), [(0.8, 14), (0.9, 40), (0.6, 25), (0.8, 330)])
+def test_hot_nodes_split_by_bits_lose_no_link(spark, monkeypatch, threshold, size):
+    monkeypatch.setattr(neardup, "COMMON", 3)
+    monkeypatch.setattr(neardup, "HOT", 5)
+    head = [f"head{i}" for i in range(size - 6)]  # words of every record, so that all are filed together
+    r = random.Random(size)
+    rows = [(i, " ".join(head + [f"t{r.randrange(9)}" for _ in range(r.randrange(2, 10))])) for i in range(120)]
+    rows += [(200 + i, t) for i, (_, t) in enumerate(corpus(9, 60, [f"w{i}" for i in range(60)], 18))]
+    assert found(spark, rows, threshold) == brute(rows, threshold, 12) != set()
+
+
+def test_bands_spread_a_hot_node():
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    n = 4_000
+    fp = r.integers(0, 2**63, n, dtype=np.uint64)
+    cards = pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), pa.array(np.arange(n)), pa.array(np.full(n, 14, np.int32)), pa.array(fp.view(np.int64))], ["key", "id", "size", "fp"])
+    nodes = np.concatenate([b.column(0).to_numpy() for b in neardup._bands(0.8)([cards])])
+    assert len(nodes) <= 10 * n and np.unique(nodes, return_counts=True)[1].max() < n / 100
