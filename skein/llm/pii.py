@@ -1,7 +1,8 @@
 """Personal information in free text: found, and replaced by typed placeholders that keep equal values linked.
 
 Items are found by their form, checked (digit groups, lengths, check ranges) and, where the form alone is ambiguous, by
-the words before them. A placeholder holds a pseudonym of the same format: the digits and letters of the item are
+the words before them. Given names are learned from the texts themselves: what people write after "my name is" and the like
+labels them. A placeholder holds a pseudonym of the same format: the digits and letters of the item are
 permuted by a keyed Feistel network, so that the same value gets the same pseudonym in every document, no two values
 share one, and whoever holds the key can undo it.
 """
@@ -13,13 +14,16 @@ import hashlib
 import hmac
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Most given names that are learned.
+LEXICON = 100_000
 KINDS = ("email", "phone", "id_number", "address", "name")
 
 # Words that come before an item, in the six languages.
@@ -60,11 +64,14 @@ ADDRESS = re.compile(
 )
 _TOKEN = r"[^\W\d_][^\W\d_'’]*(?:['’-][^\W\d_]+)*"
 NAME = re.compile(rf"(?:\b(?P<cue>{NAME_CUES})\.?\s+)(?P<name>(?P<a>{_TOKEN})(?P<comma>,)?\s(?:[^\W\d_]\.\s?){{0,2}}(?P<b>{_TOKEN}))", re.I)
-BARE_NAME = re.compile(rf"(?<![\w@#.+-])(?P<a>{_TOKEN})\s(?:[^\W\d_]\.\s)?(?P<b>[^\W\d_a-z]{_TOKEN[7:]})")
+_REST = r"[^\W\d_'’]*(?:['’-][^\W\d_]+)*"
+#: A capitalised word before another one; the second is only looked at, as it may be the first of the next pair.
+BARE_NAME = re.compile(rf"(?<![\w@#.+-])(?P<a>[^\W\d_a-z]{_REST})(?=\s(?:[^\W\d_]\.\s)?(?P<b>[^\W\d_a-z]{_REST}))")
 BIRTH = re.compile(r"(?:born(?: on)?|date of birth|dob|geboren(?: am)?|née? le|nacid[oa] el|nascid[oa] em|родил\w+)[:\s]+(\d{1,2}[./-]\d{1,2}[./-]\d{4}|\d{4}-\d{2}-\d{2})", re.I)
 _PHONE_CUE = re.compile(rf"\b(?:{PHONE_CUES})\b\.?[^.!?\d]{{0,14}}$", re.I)
 _ID_CUE, _PLACE_CUE = (re.compile(rf"(?:{c})[^.!?]{{0,24}}$", re.I) for c in (ID_CUES, PLACE_CUES))
 _CASE_CUE = re.compile(r"(?:order|case|ticket|serial|error|code|log|ref\w*|message|notice|sheet|pedido|bestellung|commande|vorgang|caso|erro\w*|chamado|заказ|номер заказа|see|under|as)\W{1,3}$", re.I)
+_STREET_WORDS = frozenset(f"{STREETS}|{STREETS_TOO}".split("|"))
 _WEAK = {"it was", "ask for", "asked for", "booked for", "talk to", "speak to", "spoke to", "name:", "name is", "signed by", "miss", "ms"}
 
 
@@ -93,12 +100,31 @@ def _is_phone(item: str, before: str) -> bool:
     return cued and 8 <= len(digits) <= 15
 
 
-def _is_name(m: re.Match) -> bool:
-    a, b, comma = m["a"], m["b"], m["comma"]
-    given = (b if comma else a).lower() in GIVEN
-    if given:
-        return True
-    return not comma and m["cue"].lower() not in _WEAK and a[0].isupper() and b[0].isupper() and len(b) > 1
+def _is_cued(m: re.Match) -> bool:
+    """Two capitalised words after a cue that hardly anything but a name follows."""
+    a, b = m["a"], m["b"]
+    return not m["comma"] and m["cue"].lower() not in _WEAK and a[0].isupper() and b[0].isupper() and len(b) > 1
+
+
+def _is_name(m: re.Match, given: Set[str]) -> bool:
+    return (m["b"] if m["comma"] else m["a"]).lower() in given or _is_cued(m)
+
+
+def learn_names(docs: DataFrame, text: str = "text", times: int = 3, most: int = LEXICON) -> frozenset[str]:
+    """Given names that the texts introduce: words that come capitalised after a cue at least ``times``, with several family names.
+
+    All texts count. The ``most`` frequent ones are kept, a bound far above the given names of any language, which keeps what is
+    broadcast small. Null texts teach nothing.
+    """
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(m["a"].lower(), m["b"].lower()) for t in batch.column(0).to_pylist() if "name" in signals(t) for m in NAME.finditer(t.translate(_SPACES)) if _is_cued(m) and m["b"].lower() not in _STREET_WORDS]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.string())], ["a", "b"])
+
+    seen = docs.where(F.col(text).isNotNull()).select(text).mapInArrow(over, "a string, b string")
+    counts = seen.groupBy("a").agg(F.count("*").alias("n"), (F.min("b") < F.max("b")).alias("several")).where(F.col("several") & (F.col("n") >= times))
+    return frozenset(r["a"] for r in counts.orderBy(F.desc("n"), "a").limit(most).collect())
 
 
 def _signals() -> ahocorasick.Automaton:
@@ -126,8 +152,8 @@ def signals(text: str) -> set[str]:
     return {what for _, what in _SIGNALS.iter(f" {text.translate(_SPACES).lower().translate(_MARKS)} ")}
 
 
-def find(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the personal items of a text, in order, none overlapping."""
+def find(text: str, given: Set[str] = GIVEN) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the personal items of a text, in order, none overlapping; ``given`` are the given names known."""
     found: list[tuple[int, int, str]] = []
     text = text.translate(_SPACES)
 
@@ -156,12 +182,15 @@ def find(text: str) -> list[tuple[int, int, str]]:
                 add(m.start(), m.end(), "address")
     if "name" in told:
         for m in NAME.finditer(text):
-            if _is_name(m):
+            if _is_name(m, given):
                 add(m.start("name"), m.end("name"), "name")
-    if not GIVEN.isdisjoint(spaced.split()) and not text.isupper():
+    if not given.isdisjoint(spaced.split()) and not text.isupper():
         for m in BARE_NAME.finditer(text):
-            if m["a"][0].isupper() and m["a"].lower() in GIVEN and not text[m.end() :].lstrip()[:1].isdigit():
-                add(m.start(), m.end(), "name")
+            # Not in capitals throughout, as words of headlines are, and not after or before a number, as months and products are.
+            whole = m["a"][0].isupper() and m["b"][0].isupper() and not (m["a"].isupper() and m["b"].isupper())
+            beside = text[: m.start()].rstrip()[-1:].isdigit() or text[m.end("b") :].lstrip()[:1].isdigit()
+            if whole and m["a"].lower() in given and not beside:
+                add(m.start(), m.end("b"), "name")
     return sorted(found)
 
 
@@ -238,26 +267,29 @@ def date_pseudonym(item: str, key: bytes, undo: bool = False) -> str:
     return parts[1].join(vals if year_first else vals[::-1])
 
 
-def redact(text: str, key: bytes) -> str:
+def redact(text: str, key: bytes, given: Set[str] = GIVEN) -> str:
     """The text with every item replaced by ``[KIND pseudonym]``."""
     out, done = [], 0
-    for start, end, kind in find(text):
+    for start, end, kind in find(text, given):
         cover = date_pseudonym if kind == "birth_date" else pseudonym
         out += [text[done:start], f"[{kind.upper()} {cover(text[start:end], key)}]"]
         done = end
     return "".join([*out, text[done:]])
 
 
-def items(docs: DataFrame, key: str = "tweet_id", text: str = "text") -> DataFrame:
-    """(key, kind, item, value, start, end) of every personal item; null texts and keys have none.
+def items(docs: DataFrame, key: str = "tweet_id", text: str = "text", names: Set[str] = frozenset()) -> DataFrame:
+    """(key, kind, item, value, start, end) of every personal item; null texts and keys have none. ``names`` are given names learned.
 
     Kinds are email, phone, id_number, address, name and birth_date; ``start`` and ``end`` count code points. A key given more
     than once gives its items each time. Extra columns are ignored; an empty table has no items.
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(GIVEN | names))
+
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = shared.value
         for batch in batches:
-            rows = [(k, kind, t[a:b], value(t[a:b]), a, b) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for a, b, kind in find(t)]
+            rows = [(k, kind, t[a:b], value(t[a:b]), a, b) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for a, b, kind in find(t, given)]
             yield pa.RecordBatch.from_pylist([dict(zip(("key", "kind", "item", "value", "start", "end"), r, strict=True)) for r in rows], schema)
 
     schema = pa.schema([("key", pa.string()), ("kind", pa.string()), ("item", pa.string()), ("value", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
@@ -265,12 +297,34 @@ def items(docs: DataFrame, key: str = "tweet_id", text: str = "text") -> DataFra
     return rows.mapInArrow(over, "key string, kind string, item string, value string, start int, end int")
 
 
-def redacted(c: Column, secret: str) -> Column:
-    """A text column with its personal items replaced; null stays null."""
+def redacted(c: Column, secret: str, names: Set[str] = frozenset()) -> Column:
+    """A text column with its personal items replaced; null stays null. ``names`` are given names learned."""
+    given = frozenset(GIVEN | names)
 
     @F.pandas_udf("string")
     def run(texts):
         key = secret.encode()
-        return texts.map(lambda t: redact(t, key), na_action="ignore")
+        return texts.map(lambda t: redact(t, key, given), na_action="ignore")
 
     return run(c)
+
+
+def audit(found: DataFrame, secret: str) -> DataFrame:
+    """One row (linked, inverted) about the pseudonyms of the items of :func:`items`: whether equal items and only they share one,
+    and whether each leads back to its item."""
+
+    @F.pandas_udf("struct<plain:string,alias:string,back:boolean>")
+    def run(kinds: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        key, rows = secret.encode(), []
+        for kind, t in zip(kinds, texts, strict=True):
+            cover = date_pseudonym if kind == "birth_date" else pseudonym
+            plain = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+            alias = cover(t, key)
+            rows.append((plain, alias, cover(alias, key, True) == plain))
+        return pd.DataFrame(rows, columns=["plain", "alias", "back"])
+
+    each = found.groupBy("kind", "item").agg(F.lit(1).alias("one")).select("kind", run("kind", "item").alias("p")).select("kind", "p.*")
+    pairs = each.groupBy("kind", "plain", "alias").agg(F.bool_and("back").alias("back"))
+    per = pairs.groupBy("kind", "alias").agg(F.count("*").alias("n"), F.bool_and("back").alias("back")).agg(F.max("n").alias("n"), F.bool_and("back").alias("back"))
+    per_item = pairs.groupBy("kind", "plain").agg(F.count("*").alias("m")).agg(F.max("m").alias("m"))
+    return per.join(F.broadcast(per_item)).select((F.coalesce("n", F.lit(1)) * F.coalesce("m", F.lit(1)) == 1).alias("linked"), F.coalesce("back", F.lit(True)).alias("inverted"))

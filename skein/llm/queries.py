@@ -24,12 +24,28 @@ def p1_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = pii.items(table(spark, sf_dir, "twcs")).where(F.col("kind").isin(*pii.KINDS))
+    tweets = table(spark, sf_dir, "twcs")
+    got = pii.items(tweets, names=pii.learn_names(tweets)).where(F.col("kind").isin(*pii.KINDS))
     return got.select(F.col("key").alias("tweet_id"), "kind", "value").distinct()
 
 
+SECRET = "a secret of the deployment"
+
+
 def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "twcs").select("tweet_id", pii.redacted(F.col("text"), "a secret of the deployment").alias("text"))
+    tweets = table(spark, sf_dir, "twcs")
+    return tweets.select("tweet_id", pii.redacted(F.col("text"), SECRET, pii.learn_names(tweets)).alias("text"))
+
+
+def p3_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of the pseudonyms of a corpus: equal items share one and no others do, each leads back, and each is in its text."""
+    tweets = table(spark, sf_dir, "twcs")
+    names = pii.learn_names(tweets)
+    holders = F.size(F.regexp_extract_all("text", F.lit(r"\[(?:EMAIL|PHONE|ID_NUMBER|ADDRESS|NAME|BIRTH_DATE) "), F.lit(0)))
+    placed = tweets.select(pii.redacted(F.col("text"), SECRET, names).alias("text")).agg(F.sum(holders).alias("placed"))
+    found = cut(pii.items(tweets.withColumn("tweet_id", F.coalesce("tweet_id", F.lit(""))), names=names))
+    counts = found.agg(F.count("*").alias("n")).join(F.broadcast(placed))
+    return pii.audit(found, SECRET).join(F.broadcast(counts)).select("linked", "inverted", (F.col("n") == F.col("placed")).alias("placed"))
 
 
 def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -72,3 +72,23 @@ def test_rows_with_nulls_and_clashing_columns(spark):
     df = spark.createDataFrame([(None, "a@b.example", "x"), ("1", None, "y"), ("1", "a@b.example", "z")], "tweet_id string, text string, kind string")
     assert [(r["key"], r["value"]) for r in pii.items(df).collect()] == [("1", "abexample")]
     assert pii.items(df.limit(0)).count() == 0
+
+
+def test_names_are_learned_from_what_follows_cues(spark):
+    texts = [f"My name is {a} {b}." for a in ("Zorvik", "Ulmetta", "Kasparro") for b in ("Tallane", "Brennick", "Ostrowe")]
+    texts += ["Registered to Dunmore Road and to Dunmore Street and to Dunmore Lane"] * 3 + [None, "", "my name is lower case"] + ["Mein Name ist Nurein Einziger"] * 5
+    held = ["yesterday Zorvik Vandermolen called", "I saw Kasparro Quillfeather there", "the Dunmore Tower", "Ulmetta went home", "booked for Nurein Anders"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    names = pii.learn_names(docs)
+    assert names == {"zorvik", "ulmetta", "kasparro"}
+    got = pii.items(spark.createDataFrame(list(enumerate(held)), "tweet_id bigint, text string"), names=names)
+    assert {(r["key"], r["value"]) for r in got.where("kind = 'name'").collect()} == {("0", "zorvikvandermolen"), ("1", "kasparroquillfeather")}
+    assert pii.learn_names(docs.limit(0)) == frozenset()
+
+
+def test_pseudonyms_of_a_corpus_are_linked_and_lead_back(spark):
+    rows = [(str(i), f"call me on +49 30 23125 {i % 7:03d}, mail a{i % 5}@b.example, born on {1 + i % 28:02d}.03.1990, my name is Élise Dupont") for i in range(60)]
+    found = pii.items(spark.createDataFrame(rows, "tweet_id string, text string"))
+    assert {r["kind"] for r in found.select("kind").distinct().collect()} == {"phone", "email", "birth_date", "name"}
+    assert tuple(pii.audit(found, "k").collect()[0]) == (True, True)
+    assert tuple(pii.audit(found.limit(0), "k").collect()[0]) == (True, True)
