@@ -43,15 +43,14 @@ def p2_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 PROBS = (0.5, 0.9, 0.99)
 
 
-def _author_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _author_lengths(spark: SparkSession, sf_dir: str, probs: tuple[float, ...] = PROBS) -> DataFrame:
     rows = table(spark, sf_dir, "twcs").select(author_key(F.col("author_id")).alias("author"), F.length("text").alias("chars"))
-    return skew.key_quantiles(rows, "author", "chars", PROBS)
+    return skew.key_quantiles(rows, "author", "chars", probs)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # How many rows a key has is told by its first counts: no quantile is asked, so no histogram is refined.
-    rows = table(spark, sf_dir, "twcs").select(author_key(F.col("author_id")).alias("author"))
-    return skew.heavy_keys(skew.key_counts(rows, "author"), 0.01).where("author is not null").select("author")
+    # How many rows a key has is told by the first histogram: no quantile is asked, so none is refined.
+    return skew.heavy_keys(_author_lengths(spark, sf_dir, ()), 0.01).where("author is not null").select("author")
 
 
 def p6_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
