@@ -23,6 +23,15 @@ def p1_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(*(F.col(c).cast("string").alias(n) for c, n in (("conv", "conv_id"), ("id", "tweet_id"), ("parent", "parent_id"))), "turn_no", "role", "score")
 
 
+def p1_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of inferred conversations: turns are numbered without a gap, and a parent that is a turn is one of the same conversation."""
+    got = cut(p1_threads(spark, sf_dir))
+    numbered = got.groupBy("conv_id").agg((F.max("turn_no") == F.count_distinct("turn_no")).alias("ok")).agg(F.bool_and("ok").alias("numbered"))
+    other = got.select(F.col("tweet_id").alias("parent_id"), F.col("conv_id").alias("of_parent"))
+    joined = got.join(other, "parent_id").agg(F.coalesce(F.bool_and(F.col("conv_id") == F.col("of_parent")), F.lit(True)).alias("joined"))
+    return numbered.join(F.broadcast(joined))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     tweets = table(spark, sf_dir, "twcs")
     got = pii.items(tweets, names=pii.learn_names(tweets)).where(F.col("kind").isin(*pii.KINDS))
@@ -80,6 +89,19 @@ def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.segments(language.identify(docs, language.train(docs, table(spark, sf_dir, "lang_labels"))))
 
 
+def p5_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of the segments: those of messages that are not wholly English are the same in both queries; a confidence is a share."""
+    docs = _spoken(spark, sf_dir)
+    model = language.train(docs, table(spark, sf_dir, "lang_labels"))
+    some, every = (cut(language.segments(language.identify(docs, model, only_mixed_or_foreign=x))) for x in (True, False))
+    key = ["src_table", "record_id"]
+    foreign = every.where("lang <> 'en'").select(*key).distinct()
+    marked = some.withColumn("side", F.lit(1)).unionByName(every.join(foreign, key, "left_semi").withColumn("side", F.lit(-1)))
+    odd = marked.groupBy(*key, "seg_no", "lang").agg(F.sum("side").alias("n")).where("n <> 0").agg((F.count("*") == 0).alias("agree"))
+    bounded = every.agg(F.coalesce(F.bool_and(F.col("confidence").between(1 / len(language.LANGUAGES) - 1e-9, 1 + 1e-9)), F.lit(True)).alias("bounded"))
+    return odd.join(F.broadcast(bounded))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 

