@@ -12,5 +12,6 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """The vector divided by its length; unchanged if that is 0."""
-    norm = F.sqrt(dot(a, a))
-    return F.when(norm > 0, F.transform(a, lambda x: x.cast("double") / norm)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    # The length goes along as an array, so that it is taken once and not for every place.
+    lengths = F.array_repeat(F.sqrt(dot(a, a)), F.size(a))
+    return F.zip_with(a, lengths, lambda x, n: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))

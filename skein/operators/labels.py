@@ -36,8 +36,10 @@ def kmeans(rows: DataFrame, k: int, seed: int = 42, vector: str = "embedding", s
     from pyspark.ml.functions import array_to_vector
 
     ready = rows.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
-    models = [KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster").fit(ready) for i in range(starts)]
+    kept = ready.select("features").persist()  # read once for all starts and rounds
+    models = [KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster").fit(kept) for i in range(starts)]
     model = min(models, key=lambda m: m.summary.trainingCost)
+    kept.unpersist()
     return model.transform(ready).drop("features")
 
 
