@@ -6,7 +6,7 @@ many bits: the search for such fingerprints is exact.
 
 The index has three levels. Records are first filed under *masked patterns*: words that two similar records must share,
 the rarest words of each (prefix filtering). Where a word is too common for one node, the node is split by a second and
-a third such word, which similar records must share as well. A node that is still too large for a task is split by masked
+a third such word (long records by a second one only), which similar records must share as well. A node that is still too large for a task is split by masked
 bit patterns: of one band of bits more than may differ, similar fingerprints have at least one in common. Within a node the fingerprints are sorted by Gray rank, so
 that neighbours differ in few bits; runs of them form groups whose common bits (mask and pattern) are factored out. Two
 groups are compared first by these: where the differences of the shared bits alone, together with those already counted,
@@ -32,6 +32,8 @@ from skein.session import cut
 SKETCH = 1 << 22
 #: A word counted more often than this is filed together with a second word (and that with a third).
 COMMON = 2_000
+#: Sets of so many words are filed under two common words at most: their triples would be too many.
+LONG = 64
 #: A node of more records than this is split by bands of the fingerprints' bits.
 HOT = 20_000
 GROUP = 64
@@ -113,7 +115,9 @@ def _cards(rarity, least: int, threshold: float):
 
     def keys(own: np.ndarray, level: np.ndarray) -> list[int]:
         # Two sets that share at least need words have, in any fixed order, their first j shared words among the
-        # first len - need + j of each: one common word decides, or the first two, or the first three.
+        # first len - need + j of each: one common word decides, or the first two, or the first three. The larger set of a
+        # pair says whether three are taken, so sets that may be the smaller one of a long one are filed both ways.
+        deep, flat = len(own) < LONG, len(own) >= threshold * LONG - 1e-9
         order = np.lexsort((own, level))
         spare = len(own) - ceil(threshold * len(own) - 1e-9)
         own, level = own[order[: spare + 3]], level[order[: spare + 3]]
@@ -128,7 +132,10 @@ def _cards(rarity, least: int, threshold: float):
                 two = own[i] * np.uint64(3) + own[j]
                 if level[j] < common:
                     out.append(two)
-                else:
+                    continue
+                if flat:
+                    out.append(two)
+                if deep:
                     out.extend(two * np.uint64(5) + own[m] for m in range(j + 1, min(spare + 3, len(own))))
         return out
 

@@ -108,7 +108,7 @@ def test_large_classes_are_paired_in_full(spark, monkeypatch, part):
     assert found(spark, rows) == brute(rows, 0.8, 12) != set()
 
 
-@pytest.mark.parametrize(("threshold", "size"), [(0.8, 14), (0.9, 40), (0.6, 25), (0.8, 330)])
+@pytest.mark.parametrize(("threshold", "size"), [(0.8, 14), (0.9, 40), (0.6, 25), (0.8, 62), (0.8, 330)])
 def test_hot_nodes_split_by_bits_lose_no_link(spark, monkeypatch, threshold, size):
     monkeypatch.setattr(neardup, "COMMON", 3)
     monkeypatch.setattr(neardup, "HOT", 5)
