@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +39,8 @@ def kmeans(rows: DataFrame, k: int, seed: int = 42, vector: str = "embedding", s
 
     ready = rows.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
     kept = ready.select("features").persist()  # read once for all starts and rounds
-    models = [KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster").fit(kept) for i in range(starts)]
+    with ThreadPoolExecutor(4) as pool:  # the starts are independent, and each is many small jobs
+        models = list(pool.map(lambda i: KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster").fit(kept), range(starts)))
     model = min(models, key=lambda m: m.summary.trainingCost)
     kept.unpersist()
     return model.transform(ready).drop("features")
