@@ -122,6 +122,19 @@ def likeliest(candidates: DataFrame, rows: DataFrame) -> DataFrame:
     return lone.unionByName(best.select("child", (-F.col("b.last")).alias("parent"), F.col("b.score").alias("score")))
 
 
+def _trees_joined(tree: DataFrame, whole: DataFrame) -> DataFrame:
+    """(node, component) as of ``connected_components``: the trees of the links (child, parent), those with an explicit link (by, to) between them as one."""
+    trees = cut(connected_components(tree, "child", "parent"))
+    ends = whole.select("by", "to").distinct()
+    for end in ("by", "to"):
+        ends = ends.join(trees.select(F.col("node").alias(end), F.col("component").alias("top")), end, "left").withColumn(end, F.coalesce("top", end)).drop("top")
+    between = cut(ends.where("by <> to").distinct())
+    onward = cut(connected_components(between, "by", "to"))
+    ahead = onward.select(F.col("node").alias("component"), F.col("component").alias("next"))
+    carried = trees.join(ahead, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
+    return carried.unionByName(onward.join(trees.select("node"), "node", "left_anti"))
+
+
 def _numbered(turns: DataFrame, large: DataFrame) -> DataFrame:
     """Adds turn_no within ``conv``. Conversations of ``large`` (conv) are numbered by the hour, hours by running counts; those
     without a time, which are ordered by id, by ranges of ids."""
@@ -157,7 +170,7 @@ def rebuild(rows: DataFrame, infer: bool = False, co_locate: int = 50_000, paren
     refs = cut(links(msgs).join(ids, "to", "left"))
     whole = refs.where("there")
     child, parent = F.when(F.col("own"), F.col("by")).otherwise(F.col("to")), F.when(F.col("own"), F.col("to")).otherwise(F.col("by"))
-    joined, tree = whole.select("by", "to"), None
+    tree = None
     if parents or infer:
         candidates = whole.select(child.alias("child"), parent.alias("parent"), F.lit(True).alias("explicit")).where("child <> parent").distinct()
         tree = likeliest(candidates, rows)
@@ -165,8 +178,10 @@ def rebuild(rows: DataFrame, infer: bool = False, co_locate: int = 50_000, paren
             alone = msgs.select("id").join(refs.select(F.explode(F.array("by", "to")).alias("id")), "id", "left_anti")
             tree = tree.unionByName(channel_parents(rows, alone))
         tree = cut(tree)
-        joined = joined.unionByName(tree.select(F.col("child").alias("by"), F.col("parent").alias("to")))
-    comp = cut(connected_components(joined, "by", "to").withColumnsRenamed({"node": "id", "component": "conv"}))
+        comp = _trees_joined(tree, whole)
+    else:
+        comp = connected_components(whole, "by", "to")
+    comp = cut(comp.withColumnsRenamed({"node": "id", "component": "conv"}))
 
     # The parent that decides on circles: the message's own reference, else the smallest message that names it.
     own = msgs.where("size(owns) > 0").select("id", F.array_min("owns").alias("up"))

@@ -115,3 +115,32 @@ def test_turns_are_the_same_without_parents(spark):
     whole = rebuild(spark, rows)[0]
     got = conversations.rebuild(spark.createDataFrame([(*r, "extra") for r in rows], SCHEMA), parents=False)
     assert {tuple(r) for r in got.collect()} == whole
+
+
+def test_query_scores_its_candidates_and_joins_their_trees(spark, tmp_path, monkeypatch):
+    from skein.llm import queries
+
+    rows = [
+        ("1", "7", True, at(1), "@B the battery is dead", "3", None),
+        ("2", "8", True, at(2, 50), "@B where is my parcel", "3", None),
+        ("3", "B", False, at(3), "@8 your parcel is on its way", None, None),
+    ]
+    spark.createDataFrame([(*r, "extra") for r in rows], SCHEMA).write.parquet(str(tmp_path / "twcs.parquet"))
+    trees, likeliest = [], conversations.likeliest
+    monkeypatch.setattr(conversations, "likeliest", lambda *x: trees.append(likeliest(*x)) or trees[-1])
+    got = queries.p1_found(spark, str(tmp_path))
+    assert [(r["child"], r["parent"], r["score"] > 4) for t in trees for r in t.collect()] == [(3, 2, True)]
+    assert {tuple(r) for r in got.collect()} == {("1", 1, "1", "customer"), ("1", 2, "2", "customer"), ("1", 3, "3", "brand")}
+
+
+def test_trees_with_a_link_between_them_are_one(spark):
+    import random
+
+    from skein.operators.graph import connected_components
+
+    r = random.Random(3)
+    whole = [(r.randrange(400), r.randrange(400)) for _ in range(250)]
+    tree = {by: (by, to) for by, to in whole if by != to}.values()
+    links = spark.createDataFrame(whole, "by bigint, to bigint")
+    got = conversations._trees_joined(spark.createDataFrame(list(tree), "child bigint, parent bigint"), links)
+    assert {tuple(x) for x in got.collect()} == {tuple(x) for x in connected_components(links, "by", "to").collect()}
