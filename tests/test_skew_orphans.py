@@ -56,3 +56,19 @@ def test_no_references(spark):
     refs = orphans.references(table(spark, []), "t", {"up": "up"}, "id", "at")
     none = spark.createDataFrame([], "ref_id string")
     assert orphans.cascade(refs, none, none, none).count() == 0
+
+
+def test_heavy_authors_come_from_refined_histograms(spark, tmp_path, monkeypatch):
+    from skein.plans import core_problems
+
+    lengths = {"brand": [7 * i for i in range(150)], "other": [1000] * 40, "rare": [3]}
+    rows = [((" @Brand", "BRAND ", "brand")[i % 3] if who == "brand" else who, "x" * n) for who, each in lengths.items() for i, n in enumerate(each)] + [(None, "y" * 9)] * 5
+    spark.createDataFrame(rows, "author_id string, text string").write.parquet(str(tmp_path / "twcs.parquet"))
+    done, key_quantiles, rounds, refine = [], skew.key_quantiles, [], skew._refine
+    monkeypatch.setattr(skew, "key_quantiles", lambda *x: done.append(key_quantiles(*x)) or done[-1])
+    monkeypatch.setattr(skew, "_refine", lambda *x: rounds.append(1) or refine(*x))
+    got = core_problems.p6_found(spark, str(tmp_path))
+    assert {r["author"] for r in got.collect()} == {"brand", "other"}
+    assert len(done) == 1 and rounds == [1]  # lengths up to 1,043 take two levels
+    wanted = {k: [sorted(v)[max(1, ceil(p * len(v))) - 1] for p in core_problems.PROBS] for k, v in lengths.items()}
+    assert {r["author"]: r["quantiles"] for r in done[0].where("author is not null").collect()} == wanted
