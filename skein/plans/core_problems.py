@@ -71,7 +71,7 @@ def _references(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = orphans.direct(*_references(spark, sf_dir))  # where the cascade starts; inherited orphans are in p7_report
+    got = orphans.cascade(*_references(spark, sf_dir)).where("level = 0")  # inherited orphans are counted in p7_report
     return got.select("src_table", F.col("id").alias("tweet_id"), "field", "ref_id", "status")
 
 

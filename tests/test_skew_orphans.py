@@ -72,3 +72,22 @@ def test_heavy_authors_come_from_refined_histograms(spark, tmp_path, monkeypatch
     assert len(done) == 1 and rounds == [1]  # lengths up to 1,043 take two levels
     wanted = {k: [sorted(v)[max(1, ceil(p * len(v))) - 1] for p in core_problems.PROBS] for k, v in lengths.items()}
     assert {r["author"]: r["quantiles"] for r in done[0].where("author is not null").collect()} == wanted
+
+
+def test_direct_orphans_of_the_query_come_from_the_cascade(spark, tmp_path, monkeypatch):
+    from datetime import datetime
+
+    from skein.plans import core_problems
+
+    columns = "tweet_id string, in_response_to_tweet_id string, response_tweet_id string, created_at timestamp"
+    at = datetime(2017, 11, 3)
+    chain = [("1", "99", None, at)] + [(str(i), f"{i - 1}.0", None, at) for i in range(2, 6)] + [("6", None, "97, 5", at), ("7", "8", None, None), ("8", "7", None, None)]
+    for name, rows in (("twcs", chain), ("twcs_late", [("99", "98", None, at)]), ("deleted_tweets", [("97", None, None, at)])):
+        spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / f"{name}.parquet"))
+    done, cascade = [], orphans.cascade
+    monkeypatch.setattr(orphans, "cascade", lambda *x: done.append(cascade(*x)) or done[-1])
+    got = {tuple(r) for r in core_problems.p7_found(spark, str(tmp_path)).collect()}
+    up, down = "in_response_to_tweet_id", "response_tweet_id"
+    assert got == {("twcs", "1", up, "99", "late"), ("twcs", "6", down, "97", "deleted"), ("twcs_late", "99", up, "98", "missing")}
+    inherited = {(r["id"], r["level"]) for r in done[0].where("level > 0").collect()}
+    assert inherited == {("1", 1), *((str(i), i - 1) for i in range(2, 6))}
