@@ -92,3 +92,17 @@ def sliding_min(values: np.ndarray, size: int) -> np.ndarray:
 
 def sliding_max(values: np.ndarray, size: int) -> np.ndarray:
     return ~sliding_min(~values, size)
+
+
+def sliding_argmin(values: np.ndarray, size: int) -> np.ndarray:
+    """Where the least of every ``size`` consecutive values is, the first of equal ones."""
+    n, length = len(values) - size + 1, 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    at = np.arange(len(values))
+    while 2 * length <= size:
+        left, right = at[:-length], at[length:]
+        at = np.where(values[left] <= values[right], left, right)
+        length *= 2
+    left, right = at[:n], at[size - length : size - length + n]
+    return np.where(values[left] <= values[right], left, right)

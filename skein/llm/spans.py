@@ -5,19 +5,20 @@ Characters are too many for graph nodes, so the graph's tokens are the winnowed
 characters holds a whole token: a token that occurs in one record only can be left out, and nothing is lost. Two
 consecutive tokens of a record overlap; with their distance they make an edge, so equal edges are equal texts. The edges
 between repeated tokens are compacted into nonbranching paths, and around the places where a record runs along a path the
-source coordinates are verified: each run of ``min_len`` characters there is compared, by hash, with all other records'.
+source coordinates are verified, coarse to fine: what neighbouring runs of ``min_len`` characters there have in common is
+compared with all other records' first, then, where that occurs elsewhere, each run, by hash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.functions.codepoints import encode, mix, sliding_max, sliding_min, window_hashes
+from skein.functions.codepoints import encode, mix, sliding_argmin, sliding_max, sliding_min, window_hashes
 from skein.functions.sieve import Sieve
 from skein.operators.graph import connected_components
 from skein.session import cut, drop
@@ -73,23 +74,75 @@ def _mark(k: int, w: int):
     return over
 
 
+def _regions(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(doc, place, codes, starts) of the texts' regions, many at once: the runs of ``size`` characters that start there."""
+    docs, lows, pieces, n = [], [], [], 0
+    for batch in batches:
+        for doc, text, regions in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for low, high in merged(((r["low"], r["high"]) for r in regions), len(text) - size + 1):
+                docs.append(doc)
+                lows.append(low)
+                pieces.append(text[low : high + size - 1])
+                n += len(pieces[-1])
+            if n >= CHUNK:
+                yield np.array(docs, np.int64), np.array(lows, np.int64), *encode(pieces)
+                docs, lows, pieces, n = [], [], [], 0
+    if pieces:
+        yield np.array(docs, np.int64), np.array(lows, np.int64), *encode(pieces)
+
+
+def merged(regions: Iterable[tuple[int, int]], end: int) -> list[list[int]]:
+    """Regions (low, high) within 0 and ``end``, in order; those that touch or overlap are one."""
+    out: list[list[int]] = []
+    for low, high in sorted((max(low, 0), min(high, end)) for low, high in regions):
+        if low < high and out and low <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], high)
+        elif low < high:
+            out.append([low, high])
+    return out
+
+
+def _inside(starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, piece) of every run of ``size`` code points that lies in one piece, without the 0 behind it."""
+    n = np.maximum(np.diff(starts) - size, 0)
+    piece = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(piece)) + (starts[:-1] - (np.cumsum(n) - n))[piece], piece
+
+
+def _cores(size: int):
+    """(doc, core, low, high): a hash of what the runs of ``size`` characters that start from ``low`` to ``high`` have in common.
+
+    A run's least k-mer, the first of equal ones, depends on the run alone. Its distance from the start, in steps of a
+    quarter of ``w``, says which ``size - step + 1`` characters are the core: they lie in the run, and equal runs have
+    equal cores.
+    """
+    k, w = sizes(size)
+    step = -(-w // 4)
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs, lows, codes, starts in _regions(batches, size):
+            at, piece = _inside(starts, size)
+            least = sliding_argmin(window_hashes(codes, k), w)[at]
+            core = least - (least - at) // step * step
+            first = np.flatnonzero(np.diff(core, prepend=-1))
+            low = (lows[piece] + at - starts[piece])[first]
+            high = low + np.diff(first, append=len(core))
+            h = window_hashes(codes, size - step + 1)[core[first]]
+            columns = [docs[piece[first]], h.view(np.int64), low.astype(np.int32), high.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "core", "low", "high"])
+
+    return over
+
+
 def _grams(size: int):
     """Two hashes of every run of ``size`` characters that starts in one of a text's regions."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, text, regions in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                codes = encode([text])[0][:-1]
-                done = 0
-                for low, high in sorted((r["low"], r["high"]) for r in regions):
-                    low, high = max(low, done), min(high, len(codes) - size + 1)
-                    if low >= high:
-                        continue
-                    done = high
-                    own = codes[low : high + size - 1]
-                    h, more = window_hashes(own, size), window_sums(own, size)
-                    columns = [np.full(len(h), doc), h.view(np.int64), more, np.arange(low, high, dtype=np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "gram", "more", "at"])
+        for docs, lows, codes, starts in _regions(batches, size):
+            at, piece = _inside(starts, size)
+            h, more = window_hashes(codes, size)[at], window_sums(codes, size)[at]
+            columns = [docs[piece], h.view(np.int64), more, (lows[piece] + at - starts[piece]).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "gram", "more", "at"])
 
     return over
 
@@ -152,11 +205,21 @@ def shared_spans(docs: DataFrame, min_len: int = 120, key: str = "doc_id", text:
     several = digest.groupBy("digest").agg(F.min("doc").alias("first"), F.count("*").alias("n_copies")).where("n_copies > 1")
     copies = cut(digest.join(several, "digest").select("doc", "first", "n"))
     others = copies.where("doc <> first").select("doc")
+    one = [F.min("doc").alias("a"), F.max("doc").alias("b")]
+    # Most records that share a token share no whole passage. Neighbouring passages are told apart from those by their
+    # cores first, a row for many of them, so that only what another record is likely to hold is compared run by run.
+    cores = cut(once.select("doc", "text", "regions").mapInArrow(_cores(min_len), "doc bigint, core bigint, low int, high int").join(others, "doc", "left_anti"))
+    common = cut(cores.groupBy("core").agg(*one).where("a < b").select("core"))
+    alike = cores.where(Sieve(common, "core").passes("core")).join(common, "core", "left_semi")
+    places = cut(alike.groupBy("doc").agg(F.collect_set(F.struct("low", "high")).alias("regions")))
+    drop(cores)
+    drop(common)
     # Equal hashes of min_len characters, 96 bits of two kinds; those of other records decide, so a record's own repeats do
     # not count.
-    grams = cut(once.join(others, "doc", "left_anti").select("doc", "text", "regions").mapInArrow(_grams(min_len), "doc bigint, gram bigint, more int, at int"))
+    kept = once.where(Sieve(places, "doc").passes("doc")).select("doc", "text").join(places, "doc").select("doc", "text", "regions")
+    grams = cut(kept.mapInArrow(_grams(min_len), "doc bigint, gram bigint, more int, at int"))
     drop(once)
-    one = [F.min("doc").alias("a"), F.max("doc").alias("b")]
+    drop(places)
     shared = cut(grams.groupBy("gram").agg(*one, (F.min("more") < F.max("more")).alias("mixed")).where("a < b").select("gram", "mixed"))
     hits = grams.where(Sieve(shared, "gram").passes("gram")).join(shared.select("gram"), "gram", "left_semi")
     mixed = shared.where("mixed")
